@@ -31,7 +31,6 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(values)
     values = np.asarray(values, np.uint64)
     wide = values >> np.uint64(30) != 0
-    escapes = values[wide]
     padded = np.zeros(n + 240, np.uint64)
     padded[:n] = np.where(wide, 0, values)
     need = np.searchsorted(np.array([1 << b for b in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)], np.uint64), padded, side="right").astype(np.uint8)
@@ -64,7 +63,7 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             words[mine] |= np.bitwise_or.reduce(cells, axis=1)
     out = np.flatnonzero(kind == ESCAPE)
     words[out] |= np.arange(len(out), dtype=np.uint64)
-    return words, escapes
+    return words, values[first[out]]
 
 
 def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
