@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op10_packing
 from .simple8b import op7_simple8b
+from .simhash import op9_simhash
 from .sketch import op2_sketch
 from .warc import SQL as WARC_SQL
 from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op10_packing": op10_packing}
+    return {"op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
