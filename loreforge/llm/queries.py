@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import SQL as DECONTAMINATION_SQL
+from .decontaminate import op8_decontamination
 from .packing import op10_packing
 from .simple8b import op7_simple8b
 from .simhash import op9_simhash
@@ -15,8 +17,8 @@ from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+    return {"op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": WARC_SQL}
+    return {"op3_warc": WARC_SQL, "op8_decontamination": DECONTAMINATION_SQL}
