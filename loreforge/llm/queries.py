@@ -10,6 +10,7 @@ from .decontaminate import SQL as DECONTAMINATION_SQL
 from .decontaminate import op8_decontamination
 from .packing import op10_packing
 from .simple8b import op7_simple8b
+from .quality import op1_quality
 from .simhash import op9_simhash
 from .sketch import op2_sketch
 from .warc import SQL as WARC_SQL
@@ -17,7 +18,7 @@ from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op2_sketch": op2_sketch, "op3_warc": op3_warc, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
