@@ -14,13 +14,14 @@ from .simple8b import op7_simple8b
 from .quality import op1_quality
 from .simhash import op9_simhash
 from .sketch import op2_sketch
+from .suffix_tree import op6_suffix_tree
 from .toxicity import op4_toxicity
 from .warc import SQL as WARC_SQL
 from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_sketch": op2_sketch, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
+    return {"op1_quality": op1_quality, "op2_sketch": op2_sketch, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_suffix_tree": op6_suffix_tree, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing}
 
 
 def oracle_sql() -> dict[str, str]:
