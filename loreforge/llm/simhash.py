@@ -8,6 +8,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -218,5 +219,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(of, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents, all columns as they are, without near-duplicates: of each component the row of the smallest doc_id
+    stays (of repeated rows one; a null id only where the component has no other)."""
+    at, bits, row = docs.columns.index("text"), "__simhash_bits", "__simhash_row"
+    schema = T.StructType([*docs.schema.fields, T.StructField(bits, T.LongType()), T.StructField(row, T.LongType())])
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 40
+        for batch in common.slices(batches):
+            found = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64)), pa.array(np.arange(number, number + len(found)))], names=schema.names)
+            number += len(found)
+
+    marked = common.settled(docs.mapInArrow(run, schema), "simhash-documents")
+    light = marked.select("doc_id", F.col(bits).alias("bits"), F.col(row).alias("row"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
+    distinct = common.settled(light.groupBy("bits").agg(F.min(order).alias("first")), "simhash-distinct")
+    roots = components(links(distinct.select("bits")))
+    root = F.coalesce("root", "bits")
+    stay = distinct.join(roots, distinct["bits"] == roots["node"], "left").groupBy(root.alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays"))
+    return marked.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(common.table(spark, sf_dir, "documents"))
