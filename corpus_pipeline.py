@@ -1,18 +1,40 @@
-"""From raw documents to packed sequences, by the training-data operators."""
+"""From raw documents to packed sequences: rejected, toxic, repeated and contaminated documents go, the rest is packed."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loreforge.llm import common, packing
+from loreforge.llm import common, decontaminate, packing, quality, simhash, toxicity
 from loreforge.llm.tokens import tokenizer_path
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.keep_good(docs, common.table(spark, sf_dir, "labels"))
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not found toxic."""
+    return toxicity.keep_clean(docs, common.table(spark, sf_dir, "labels"))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.one_of_each(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.without_matches(docs, common.table(spark, sf_dir, "benchmark"))
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
     return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("packing", packed)]
+STAGES = [("quality", good), ("toxicity", clean), ("near_dedup", distinct), ("decontamination", uncontaminated), ("packing", packed)]
+#: Classifiers, hashes and token ids are beyond SQL; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
