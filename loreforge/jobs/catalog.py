@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import knowledge, retrieval
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return retrieval.keyword_topk(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return knowledge.QUERIES | retrieval.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return knowledge.SQL | retrieval.SQL
