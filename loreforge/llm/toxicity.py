@@ -25,8 +25,9 @@ _SYMBOL = {c: k + 1 for k, c in enumerate(LETTERS)}
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¢": "c", "¡": "i", "*": "aeiou", "#": "h"}
 #: Signs that may be put between the letters of a word.
 BETWEEN = " .-_*~'`´^,:;/\\|+="
-#: Costs of the channel in nats: a sign for a letter, a sign left out, a repeated letter written once or twice.
-SUBSTITUTED, LEFT_OUT, REPEATED = 1.5, 0.7, 0.3
+#: Costs of the channel in nats: a sign for a letter, a sign left out, a sign that ends a word, a repeated letter written
+#: once or twice.
+SUBSTITUTED, LEFT_OUT, KEPT, REPEATED = 1.5, 0.7, 6.0, 0.3
 #: Words whose features a worker keeps.
 CACHE_WORDS = 300_000
 FEATURE_BITS, MAX_FEATURES, PREFIXES = 22, 4096, (4, 5, 6)
@@ -64,7 +65,8 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 ways += [(letter * 2, SUBSTITUTED) for letter in LEET.get(c, "")]
             if c in BETWEEN:
                 ways.append(("", LEFT_OUT * n))
-            ways.append((c * n, 0.0))
+            if c not in LEET:  # the token as written is scored too
+                ways.append((c * n, KEPT if c in BETWEEN else 0.0))
         out.append(ways)
         at = end
     return out
@@ -108,7 +110,7 @@ def restore(text: str, model: CharModel) -> set[str]:
             words.add(token)
             continue
         bare = token.strip(_EDGE)
-        words.add(bare)
+        words.update((bare, *_letters(bare)))
         if bare and bare.isalpha() and not _THRICE.search(bare) and token.lstrip(_EDGE) != token and token[0] in LEET and not token.startswith(token[0] * 2):
             bare = token.rstrip(".,!?;:")  # a sign in front may be its first letter
             words.update(_letters(decode(bare, model)))
