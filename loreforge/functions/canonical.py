@@ -9,8 +9,10 @@ from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SAFE = 2**53 - 1
+_CANONICAL = T.StructType([T.StructField(n, T.StringType()) for n in ("canonical", "sha256", "error")])
 
 
 def _object(pairs):
@@ -39,7 +41,7 @@ def canonical_json(text: str) -> bytes:
         raise ValueError("INVALID_UNICODE") from error
 
 
-@F.pandas_udf("struct<canonical: string, sha256: string, error: string>")
+@F.pandas_udf(_CANONICAL)
 def canonical(column: pd.Series) -> pd.DataFrame:
     """Canonical form and digest of JSON text, or why there is none; null stays null."""
 
@@ -55,7 +57,7 @@ def canonical(column: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([one(t) for t in column], columns=["canonical", "sha256", "error"])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def composed(column: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
