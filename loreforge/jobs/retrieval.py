@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import graph, packing, search
+from ..operators import flow, graph, packing, search
+from ..sources import members
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -211,3 +212,47 @@ def citation_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
     part, supplier = F.col("l_partkey") + 10_000_000, F.col("l_suppkey") + 20_000_000
     links = items.select(F.col("l_orderkey").alias("src"), part.alias("dst")).union(items.select(part, supplier)).distinct()
     return graph.closure(links, items.where("l_quantity >= 50").select(F.col("l_orderkey").alias("node")))
+
+
+_FLOW_SQL = """n AS (SELECT conv_id AS artifact, turn AS node, role AS defines, role = 'system' AND turn > 0 AS barrier FROM conversations),
+e AS (SELECT a.artifact, a.node AS src, b.node AS dst FROM n a JOIN n b ON b.artifact = a.artifact AND (b.node = a.node + 1 OR (b.node = a.node + 3 AND a.node % 2 = 0))),
+v AS (SELECT DISTINCT artifact, 'user' AS variable FROM n UNION SELECT DISTINCT artifact, 'assistant' FROM n)"""
+
+
+def _conversation_flow(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Turns as statements: each defines its role, later system turns are barriers, and even turns may skip two."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("artifact"), F.col("turn").alias("node"), "role")
+    nodes = turns.select("artifact", "node", ((F.col("role") == "system") & (F.col("node") > 0)).alias("barrier"), F.array("role").alias("defines"), F.array(F.lit("user"), F.lit("assistant")).alias("uses"))
+    ways = F.explode(F.when(F.col("node") % 2 == 0, F.array(F.col("node") + 1, F.col("node") + 3)).otherwise(F.array(F.col("node") + 1)))
+    edges = turns.select("artifact", F.col("node").alias("src"), ways.alias("dst")).join(turns.select("artifact", F.col("node").alias("dst")), ["artifact", "dst"], "left_semi")
+    return nodes, edges, turns.where("node = 0").select("artifact", "node")
+
+
+@query(f"""WITH RECURSIVE {_FLOW_SQL}, r(artifact, node, variable, definition) AS (
+SELECT v.artifact, 0, v.variable, -1 FROM v JOIN n ON n.artifact = v.artifact AND n.node = 0
+UNION SELECT e.artifact, e.dst, n.defines, n.node FROM n JOIN e ON e.artifact = n.artifact AND e.src = n.node WHERE NOT n.barrier AND n.defines <> 'system'
+UNION SELECT e.artifact, e.dst, v.variable, -1 FROM n JOIN e ON e.artifact = n.artifact AND e.src = n.node JOIN v ON v.artifact = n.artifact WHERE n.barrier
+UNION SELECT e.artifact, e.dst, r.variable, r.definition FROM r JOIN n ON n.artifact = r.artifact AND n.node = r.node JOIN e ON e.artifact = n.artifact AND e.src = n.node WHERE NOT n.barrier AND n.defines <> r.variable)
+SELECT n.artifact, n.node, v.variable, coalesce(array_to_string(list_sort(list(DISTINCT r.definition) FILTER (r.definition >= 0)), ','), '') AS definitions,
+count(r.definition) FILTER (r.definition >= 0) > 0 AND count(*) FILTER (r.definition = -1) = 0 AS definite
+FROM n JOIN v ON v.artifact = n.artifact LEFT JOIN r ON r.artifact = n.artifact AND r.node = n.node AND r.variable = v.variable GROUP BY n.artifact, n.node, v.variable""")
+def reaching_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = flow.reaching(*_conversation_flow(spark, sf_dir))
+    return found.select("artifact", "node", "variable", F.array_join("definitions", ",").alias("definitions"), "definite")
+
+
+@query(f"""WITH RECURSIVE {_FLOW_SQL}, a(artifact, avoided, node) AS (SELECT n.artifact, m.node, 0 FROM n JOIN n m ON m.artifact = n.artifact WHERE n.node = 0 AND m.node <> 0
+UNION SELECT a.artifact, a.avoided, e.dst FROM a JOIN e ON e.artifact = a.artifact AND e.src = a.node WHERE e.dst <> a.avoided)
+SELECT n.artifact, n.node, m.node AS dominator FROM n JOIN n m ON m.artifact = n.artifact AND m.node <> n.node WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.artifact = n.artifact AND a.avoided = m.node AND a.node = n.node)""")
+def dominator_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, edges, entries = _conversation_flow(spark, sf_dir)
+    return flow.dominators(edges, entries)
+
+
+@query(r"""SELECT page_id, line_no, trim(substr(rpad(line, 80, ' '), 19, 10)) AS name_field, trim(substr(rpad(line, 80, ' '), 45, 36)) AS functions,
+len(rtrim(line)) > 80 AS overflow FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages)""")
+def fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed columns of each line of each page."""
+    rows = members.lines(table(spark, sf_dir, "pages").select("page_id", "html"), "page_id", "html")
+    cut = members.description_columns(F.col("line"))
+    return rows.select("page_id", "line_no", cut["name"].alias("name_field"), cut["functions"].alias("functions"), (F.length(F.rtrim("line")) > 80).alias("overflow"))
