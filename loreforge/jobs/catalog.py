@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import knowledge, retrieval
+from . import exports, knowledge, retrieval
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return knowledge.QUERIES | retrieval.QUERIES
+    return knowledge.QUERIES | retrieval.QUERIES | exports.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return knowledge.SQL | retrieval.SQL
+    return knowledge.SQL | retrieval.SQL | exports.SQL

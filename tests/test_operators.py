@@ -101,3 +101,20 @@ def test_appends_and_heads(spark):
     assert _pairs(relational.appended(old, new, "id", "p").select("id", "outcome")) == [(1, "same"), (2, "conflict"), (3, "insert"), (4, "insert")]
     chain = spark.createDataFrame([(1, None), (2, 1), (3, 2), (9, None)], "id int, prev int")
     assert _pairs(relational.heads(chain, "id", "prev")) == [(3, 2), (9, None)]
+
+
+def test_snapshots_are_closed_and_bounded(spark):
+    import pytest
+
+    from loreforge.operators import snapshots
+
+    docs = spark.createDataFrame([(1, "a"), (2, "password=x")], "id int, t string")
+    snapshot = snapshots.members({"doc": (docs, "id"), "gone": (docs.where("id = 2"), "id")})
+    facts = snapshots.scan(snapshot, {"doc": (docs, "id", F.col("t"))})
+    assert _pairs(snapshots.missing(snapshot, facts)) == [("gone", "2")]
+    assert snapshots.bounded(facts, 2).count() == 2
+    with pytest.raises(ValueError, match="RESULT_LIMIT"):
+        snapshots.bounded(facts, 1)
+    pages = snapshots.exported(facts)
+    assert sorted(r.content for r in pages.collect()) == ["# doc 1\n\na\n", "# doc 2\n\npassword=[REDACTED]\n"]
+    assert snapshots.faults(pages, pages).count() == 0
