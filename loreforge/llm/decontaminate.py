@@ -7,7 +7,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,43 +19,65 @@ WIDTH, THRESHOLD = 5, 0.8
 MINIMA = 64
 #: Items whose signatures are broadcast at a time; more are searched for in further blocks.
 BLOCK_ITEMS = 20_000
-_WORD = re.compile(r"\w+")
+_GAP = re.compile(r"\W+")
+_ASCII_GAPS = bytes(32 if i < 128 and not (chr(i).isalnum() or i == 95) else i for i in range(256))
 _SEEDS = np.random.default_rng(8).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 22
-#: Words whose hashes a worker keeps.
-CACHE_WORDS = 500_000
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters, digits and underscores, in lower case; what stands between them doesn't count."""
-    return _WORD.findall(text.lower())
-
-
-def shingles(words: list[str], width: int) -> set[str]:
-    return {" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) > CACHE_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) >> 1
-        return h
-
-
-_hashes = _WordHashes()
-
-
-def shingle_hashes(words: list[str], width: int) -> np.ndarray:
-    """A 64-bit hash of each run of so many words."""
+#: Texts are hashed in stretches of about so many bytes.
+STRETCH = 1 << 20
+_BASE = 0x5851F42D4C957F2D
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def folded(text: str) -> bytes:
+    """The text in lower case with each sign that is no letter, digit or underscore as a space; words() of it are what counts."""
+    low = text.lower()
+    if not low.isascii() and not all(c.isalnum() for c in set(low) if c > "\x7f"):
+        low = _GAP.sub(" ", low)
+    return low.encode("utf-8", "surrogatepass").translate(_ASCII_GAPS)
+
+
+def shingles(words: list[bytes], width: int) -> set[bytes]:
+    return {b" ".join(words[i : i + width]) for i in range(len(words) - width + 1)}
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, n of each at least."""
+    if len(_powers[0]) < n:
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, 1 << 16), base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, from sums of its bytes times powers of a base; a word's place makes no difference."""
+    out, at = [], 0
+    while at < len(data):
+        stop = len(data) if len(data) - at <= STRETCH else data.find(b" ", at + STRETCH)
+        stop = len(data) if stop < 0 else stop
+        b = np.frombuffer(data, np.uint8, stop - at, at)
+        up, down = power_tables(len(b) + 1)
+        edges = np.flatnonzero(np.diff((b != 32).view(np.int8), prepend=0, append=0))
+        starts, ends = edges[0::2], edges[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=sums[1:])
+        h = (sums[ends] - sums[starts]) * down[starts]
+        out.append((h ^ (h >> np.uint64(31))) * _STEP)
+        at = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each run of so many words, from the words' hashes."""
     n = len(words) - width + 1
     if n < 1:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.int64, len(words)).view(np.uint64)
     out = np.zeros(n, np.uint64)
     for k in range(width):
-        out = (out ^ h[k : k + n]) * _STEP
+        out = (out ^ words[k : k + n]) * _STEP
         out ^= out >> np.uint64(29)
     return out
 
@@ -72,17 +93,18 @@ class Index:
     """Signatures of a block of items by size: a class holds items of 2^c to 2^(c+1) - 1 shingles."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.exact: list[tuple[int, set[str], int]] = []
+        self.exact: list[tuple[int, set[bytes], int]] = []
         self.classes: dict[tuple[int, int], dict[tuple[int, int], list[int]]] = {}
         probes: dict[int, list[np.ndarray]] = {}
         for item_id, text in items:
-            words = words_of(text or "")
+            data = folded(text or "")
+            words = data.split()
             width = min(WIDTH, len(words))
             if not width:
                 continue
             number = len(self.exact)
             self.exact.append((item_id, shingles(words, width), width))
-            hashes = np.unique(shingle_hashes(words, width))
+            hashes = np.unique(shingle_hashes(word_hashes(data), width))
             least, who = minima(hashes)
             table = self.classes.setdefault((width, len(hashes).bit_length() - 1), {})
             for k, v in enumerate(least.tolist()):
@@ -94,17 +116,18 @@ class Index:
             self.filters[w] = np.zeros(1 << _FILTER_BITS, bool)
             self.filters[w][(x >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
 
-    def candidates(self, words: list[str]) -> set[int]:
+    def candidates(self, data: bytes) -> set[int]:
         """Items one of whose minima is a minimum of a window of the text.
 
         Windows of a class are four times its least size and overlap by half, so a passage lies within one. A window can
         only agree with an item in a minimum if it holds the shingle that has it; others need no signature.
         """
         found: set[int] = set()
+        words = word_hashes(data)
         for width, probe in self.probes.items():
             h = shingle_hashes(words, width)
             maybe = np.flatnonzero(self.filters[width][(h >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
-            hits = maybe[np.isin(h[maybe], probe)]
+            hits = maybe[probe[np.minimum(np.searchsorted(probe, h[maybe]), len(probe) - 1)] == h[maybe]]
             if not len(hits):
                 continue
             for (w, c), table in self.classes.items():
@@ -119,8 +142,9 @@ class Index:
 
     def matches(self, text: str, threshold: float) -> Iterator[tuple[int, int, int]]:
         """(item, shared shingles, shingles of the item) of each item of which the text holds enough, counted exactly."""
-        words = words_of(text)
-        if found := self.candidates(words):
+        data = folded(text)
+        if found := self.candidates(data):
+            words = data.split()
             of = {w: shingles(words, w) for w in {self.exact[k][2] for k in found}}
             for k in sorted(found):
                 item_id, mine, width = self.exact[k]
