@@ -19,6 +19,8 @@ from .tokens import WordTokens, tokenizer_path
 PACKS = ((240, 0), (120, 0), (60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 ESCAPE = 15
 _COUNTS = np.array([n for n, _ in PACKS])
+_LIMITS = np.array([1 << b for b in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)], np.uint64)
+_NEED = np.searchsorted(_LIMITS, np.arange(1 << 16, dtype=np.uint64), side="right").astype(np.uint8)
 _HEAD = struct.Struct("<4sqqqq")
 #: A block closes once it has so many ids; documents are never cut.
 BLOCK_IDS = 65_536
@@ -33,7 +35,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     wide = values >> np.uint64(30) != 0
     padded = np.zeros(n + 240, np.uint64)
     padded[:n] = np.where(wide, 0, values)
-    need = np.searchsorted(np.array([1 << b for b in (0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30)], np.uint64), padded, side="right").astype(np.uint8)
+    small = padded.astype(np.int64)
+    need = _NEED[np.minimum(small, len(_NEED) - 1)]
+    if n and len(big := np.flatnonzero(small >= len(_NEED))):
+        need[big] = np.searchsorted(_LIMITS, padded[big], side="right")
     need[:n][wide] = 200
     fits_from = {0: 0, 1: 1, 2: 2, 3: 3, 4: 4, 5: 5, 6: 6, 7: 7, 8: 8, 10: 9, 12: 10, 15: 11, 20: 12, 30: 13}
     largest = {1: need}
@@ -50,9 +55,10 @@ def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         part = largest[p]
         top = np.maximum(part[:n], part[count - p : count - p + n])
         chosen[top <= fits_from[bits]] = selector
-    step, starts, at = _COUNTS[chosen].tolist(), [], 0
+    step, starts, at = _COUNTS.astype(np.uint8)[chosen].tobytes(), [], 0
+    put = starts.append
     while at < n:
-        starts.append(at)
+        put(at)
         at += step[at]
     first = np.array(starts, np.int64)
     kind = chosen[first] if n else np.zeros(0, np.uint8)
@@ -139,7 +145,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
             row = {"part": [part], "block": [block], "within": [within], "n_ids": [len(values)], "doc_ids": [np.array([x or 0 for x in ids], "<i8").tobytes()], "no_id": [np.array([x is None for x in ids], "u1").tobytes()]}
             return common.to_batch(BLOCKS, row | {"payload": [block_bytes(values, np.array([len(x) // 4 for x in held], np.int64))]})
 
-        for batch in common.slices(batches):
+        for batch in common.slices(batches, 1024):
             for doc_id, code in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
                 held.append(code + tail)
                 ids.append(doc_id)

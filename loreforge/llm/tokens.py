@@ -8,10 +8,11 @@ from itertools import chain
 
 import numpy as np
 
-_DOUBLE = re.compile(r"\s\s|\A\s|\s\Z")
-_SINGLE = re.compile(r"(?<=\S) (?=\S)")
+#: Letters and signs after them, and the same after a line break. An apostrophe or mark may belong to what stands before it.
+_SIGNS = r"[!-&(-/:-@\[-^`{-~]"
+_PARTS = re.compile(rf"([^\W\d_]+)({_SIGNS}+)(?:(\n)([^\W\d_]+)({_SIGNS}*))?|([^\W\d_]+)(\n)([^\W\d_]+)({_SIGNS}*)")
 #: Words kept by one cache; it is emptied then, which costs time and never ids.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 800_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -36,7 +37,13 @@ class WordTokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.glued = glued
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes | None] = {}
+        self.starting: dict[str, bytes] = {} if glued else self.known
+        # In a byte-level vocabulary a space starts a word's first token; in the other its last token ends in a mark.
+        self.edge = np.zeros(self.tokenizer.get_vocab_size() + 1, bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.edge[k] = token.startswith("\u0120") if glued else token.endswith("</w>")
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     @classmethod
     def of(cls, path: str, glued: bool) -> WordTokens:
@@ -48,15 +55,73 @@ class WordTokens:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _letters(self, words: list[str], spaced: bool) -> list[bytes]:
+        """Ids of words of letters only: encoded as one text, and told apart by the tokens at their edges.
+
+        spaced: with the space before them; else, where that matters, they are put on lines of their own.
+        """
+        lines = self.glued and not spaced
+        if not words or lines and len(self.line) != 1:
+            return self._ids([f" {w}" for w in words] if spaced else words)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(["", *words]) if lines else " ".join(["", *words])], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(ids == self.line[0]) if lines else np.flatnonzero(self.edge[ids])
+        if len(edges) != len(words):
+            return self._ids([f" {w}" for w in words] if spaced else words)
+        starts, ends = (edges + lines, np.append(edges[1:], len(ids))) if self.glued else (np.insert(edges[:-1] + 1, 0, 0), edges + 1)
+        raw = ids.tobytes()
+        return [raw[4 * i : 4 * j] for i, j in zip(starts.tolist(), ends.tolist())]
+
+    def _add(self, to: dict, words: set[str], spaced: bool) -> None:
+        """Encodes what is new: words of letters many at a time, others each by itself."""
+        new = [w for w in words if w not in to]
+        letters, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        for at in range(0, len(letters), 4096):
+            some = letters[at : at + 4096]
+            to.update(zip(some, self._letters(some, spaced), strict=True))
+        to.update(zip(rest, self._ids([f" {w}" for w in rest] if spaced else rest), strict=True))
+
+    def _learn(self, words: set[str]) -> None:
+        """Encodes words that are new here. Letters, signs after them and a line break are cut apart first, as every
+        pattern of these vocabularies does.
+
+        White space at a word's edge would join the space before or after it: such a word is kept as None.
+        """
+        known, starting = self.known, self.starting
+        if len(known) + len(starting) > CACHE_WORDS:
+            known.clear()
+            starting.clear()
+        alone, parts = set(), {}
+        new = [w for w in words if w not in known]
+        alone.update(w for w in new if w.isalpha())
+        for w in new:
+            if w.isalpha():
+                continue
+            if (found := _PARTS.fullmatch(w)) and (cut := [x for x in found.groups() if x]) and (w.isascii() or all(x.isalpha() or not x[0].isalnum() for x in cut)):
+                parts[w] = cut
+            elif self.glued and (not w or w[0].isspace() or w[-1].isspace()):
+                known[w] = None
+            else:
+                alone.add(w)
+        alone.update(cut[0] for cut in parts.values())
+        self._add(known, alone, self.glued)
+        self._add(starting, {x for cut in parts.values() for x in cut[1:]}, False)
+        for w, cut in parts.items():
+            known[w] = known[cut[0]] + b"".join([starting[x] for x in cut[1:]])
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        words = [t.split(" ") if not (self.glued and _DOUBLE.search(t)) else _SINGLE.split(t) for t in texts]
-        later = set(chain.from_iterable(w[1:] if self.glued else w for w in words))
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        if new := [w for w in later if w not in self.known]:
-            self.known.update(zip(new, self._ids([f" {w}" for w in new] if self.glued else new), strict=True))
+        words = [t.split(" ") for t in texts]
+        self._learn(set(chain.from_iterable(w[1:] if self.glued else w for w in words)))
         get = self.known.__getitem__
         if not self.glued:
             return [b"".join(map(get, w)) for w in words]
-        first = self._ids([w[0] for w in words])
-        return [b"".join([head, *map(get, w[1:])]) for head, w in zip(first, words, strict=True)]
+        self._add(self.starting, {w[0] for w in words}, False)
+        out = []
+        for w in words:
+            try:
+                out.append(None if w[0][-1:].isspace() else b"".join([self.starting[w[0]], *map(get, w[1:])]))
+            except TypeError:  # holds a None
+                out.append(None)
+        if whole := [i for i, x in enumerate(out) if x is None]:
+            for i, x in zip(whole, self._ids([texts[i] for i in whole]), strict=True):
+                out[i] = x
+        return out
