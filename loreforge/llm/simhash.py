@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common
+from . import common, similar
 
 SEED, WORDS, MAX_BITS = 42, 3, 3
 #: Three differing bits touch three of the eight bytes at most, so linked fingerprints share five.
@@ -219,26 +219,48 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return marked.join(of, "bits").select("doc_id", F.lower(F.lpad(F.hex("bits"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
     """The documents, all columns as they are, without near-duplicates: of each component the row of the smallest doc_id
-    stays (of repeated rows one; a null id only where the component has no other)."""
-    at, bits, row = docs.columns.index("text"), "__simhash_bits", "__simhash_row"
+    stays (of repeated rows one; a null id only where the component has no other).
+
+    alike: texts that share 0.8 of their five-word shingles are linked too, whatever their bits.
+    """
+    at, bits, row, more = docs.columns.index("text"), "__simhash_bits", "__simhash_row", ["__simhash_digest", "__simhash_size", "__simhash_keys"]
     schema = T.StructType([*docs.schema.fields, T.StructField(bits, T.LongType()), T.StructField(row, T.LongType())])
+    if alike:
+        schema = T.StructType([*schema.fields, *map(T.StructField, more, (T.LongType(), T.LongType(), T.ArrayType(T.LongType())))])
 
     def run(batches):
         number = TaskContext.get().partitionId() << 40
         for batch in common.slices(batches):
-            found = np.array([fingerprint((t or "").encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found.view(np.int64)), pa.array(np.arange(number, number + len(found)))], names=schema.names)
+            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()]
+            found = np.array([fingerprint(t) for t in texts], np.uint64)
+            columns = [pa.array(found.view(np.int64)), pa.array(np.arange(number, number + len(found)))]
+            if alike:
+                sets = [similar.shingles(t) for t in texts]
+                columns += [pa.array(np.array([d for d, _ in sets], np.uint64).view(np.int64)), pa.array([len(h) for _, h in sets], pa.int64())]
+                columns.append(pa.array([similar.keys(h) for _, h in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=schema.names)
             number += len(found)
 
     marked = common.settled(docs.mapInArrow(run, schema), "simhash-documents")
-    light = marked.select("doc_id", F.col(bits).alias("bits"), F.col(row).alias("row"))
+    light = marked.select("doc_id", F.col(bits).alias("bits"), F.col(row).alias("row"), *(F.col(c).alias(c[10:]) for c in more if alike))
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("row"))
     distinct = common.settled(light.groupBy("bits").agg(F.min(order).alias("first")), "simhash-distinct")
     roots = components(links(distinct.select("bits")))
     root = F.coalesce("root", "bits")
-    stay = distinct.join(roots, distinct["bits"] == roots["node"], "left").groupBy(root.alias("root")).agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays"))
+    sets = distinct.join(roots, distinct["bits"] == roots["node"], "left").select("bits", root.alias("root"), "first")
+    if alike:
+        # A node is a distinct text, by its least row; those of a set of fingerprints hang together by the least of the set.
+        sets = common.settled(sets, "simhash-sets")
+        texts = light.groupBy("bits", "digest").agg(F.min("row").alias("row"), F.min(order).alias("first"))
+        texts = common.settled(texts.join(sets.select("bits", F.col("root").alias("set")), "bits").select("row", "set", "first"), "simhash-texts")
+        heads = texts.groupBy("set").agg(F.min("row").alias("root"))
+        nodes = common.settled(texts.join(heads, "set").join(light.select("row", "size", "keys"), "row").select(F.col("row").alias("node"), "root", "first", "size", "keys"), "simhash-nodes")
+        near = similar.links(nodes, marked.select(F.col(row).alias("node"), "text"), components)
+        roots = components(near.union(nodes.where("node <> root").select("root", "node")))
+        sets = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
+    stay = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays"))
     return marked.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
 
 
