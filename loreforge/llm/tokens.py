@@ -35,7 +35,8 @@ class WordTokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        # The tokenizer finds these in a text before it cuts words, so such texts are encoded whole.
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.glued = glued
         self.known: dict[str, bytes | None] = {}
         self.starting: dict[str, bytes] = {} if glued else self.known
@@ -109,6 +110,10 @@ class WordTokens:
             known[w] = known[cut[0]] + b"".join([starting[x] for x in cut[1:]])
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        if held := [i for i, t in enumerate(texts) if any(x in t for x in self.added)]:
+            whole = dict(zip(held, self._ids([texts[i] for i in held]), strict=True))
+            out = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [whole[i] if i in whole else next(out) for i in range(len(texts))]
         words = [t.split(" ") for t in texts]
         self._learn(set(chain.from_iterable(w[1:] if self.glued else w for w in words)))
         get = self.known.__getitem__
