@@ -139,16 +139,8 @@ def temporal_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)""")
 def containment_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of three words or more as it is. A passage is found by its longest inner word, which
-    white space bounds on both sides, and then compared."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
-    words = F.split("passage", r"\s+")
-    inner = F.array_sort(F.transform(F.slice(words, 2, F.size(words) - 2), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))
-    keyed = items.where(F.size(words) > 2).select("item_id", inner[0]["word"].alias("word"))
-    posted = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
-    pairs = posted.join(keyed, "word").select("doc_id", "item_id")
-    return pairs.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    """Documents that hold a passage as it is."""
+    return search.holding(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")))
 
 
 _EDGES_SQL = """SELECT 'r' || r_regionkey AS src, 'n' || n_nationkey AS dst FROM region JOIN nation ON n_regionkey = r_regionkey UNION ALL SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text, vectors
 
+#: Passages of one or two words that are broadcast at a time.
+SHORT_BLOCK = 5_000
+
 
 def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
     """(token, key, tf): the inverted index."""
@@ -42,3 +45,23 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, key: str) -> DataFrame:
     """The union of both results by key, without fusing scores: semantic rank first, then keyword rank."""
     s, w = semantic.select(key, F.col("rank").alias("semantic_rank")), keyword.select(key, F.col("rank").alias("keyword_rank"))
     return s.join(w, key, "full_outer").orderBy(F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("keyword_rank"), key)
+
+
+def holding(docs: DataFrame, items: DataFrame, block: int = SHORT_BLOCK) -> DataFrame:
+    """(doc_id, item_id) of documents (doc_id, text) that contain a passage (item_id, passage).
+
+    A passage of three words or more is found by its longest inner word, which white space bounds on both sides, and then
+    compared. Shorter ones have no such word: the documents are read once for each block of them, each of bounded size.
+    """
+    words = F.split("passage", r"\s+")
+    inner = F.array_sort(F.transform(F.slice(words, 2, F.size(words) - 2), lambda w: F.struct((-F.length(w)).alias("n"), w.alias("word"))))
+    keyed = items.where(F.size(words) > 2).select("item_id", inner[0]["word"].alias("word"))
+    posted = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    pairs = posted.join(keyed, "word").select("doc_id", "item_id")
+    out = pairs.join(items, "item_id").join(docs, "doc_id").where(F.contains("text", "passage")).select("doc_id", "item_id")
+    short = items.where(F.size(words) <= 2)
+    parts = -(-2 * short.count() // block)
+    for k in range(parts):
+        some = short if parts < 2 else short.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(parts)) == k)
+        out = out.union(docs.join(F.broadcast(some), F.contains("text", "passage")).select("doc_id", "item_id"))
+    return out
