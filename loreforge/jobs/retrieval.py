@@ -170,7 +170,7 @@ def bfs_depth2(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT b.seed, e.dst, b.level + 1 FROM b JOIN e ON e.src = b.node WHERE e.dst IS NOT NULL AND b.level < 8) SELECT seed AS application, node AS member, min(level) AS distance FROM b WHERE node <> seed GROUP BY seed, node""")
 def reach_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("seed")).withColumn("node", F.col("seed"))
-    found = graph.bounded_bfs(_edges(spark, sf_dir), seeds, 8).where("node <> seed")
+    found = graph.reach(_edges(spark, sf_dir), seeds).where("node <> seed")
     return found.select(F.col("seed").alias("application"), F.col("node").alias("member"), F.col("level").alias("distance"))
 
 

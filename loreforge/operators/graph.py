@@ -59,6 +59,60 @@ def simple_paths(edges: DataFrame, depth: int) -> DataFrame:
     return done.select(F.array_join("path", ">").alias("path"), F.size("path").alias("nodes"), "ending")
 
 
+def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(seed, node, level, support): all that seeds (seed, node) reach over edges (src, dst; a null dst leads nowhere), at
+    its least level. support: the distinct evidence (an array, if the edges have it) of one shortest way.
+    """
+    evidence = F.col("evidence") if "evidence" in edges.columns else F.array().cast("array<string>")
+    links = edges.where("dst is not null").select("src", "dst", evidence.alias("evidence"))
+    frontier = seen = cut(seeds.select("seed", "node").distinct().withColumn("level", F.lit(0)).withColumn("support", F.array().cast(links.schema["evidence"].dataType)))
+    while not frontier.isEmpty():
+        step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.col("level") + 1, F.array_sort(F.array_union("support", "evidence")).alias("support"))
+        step = step.toDF("seed", "node", "level", "support").groupBy("seed", "node", "level").agg(F.min("support").alias("support"))
+        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
+        seen = cut(seen.unionByName(frontier))
+    return seen
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, label): the least node that it hangs together with over links (src, dst), whatever their direction."""
+    both = cut(links.union(links.select("dst", "src")).distinct())
+    labels = cut(both.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")))
+    while True:
+        near = both.join(labels, F.col("dst") == F.col("node")).groupBy("src").agg(F.min("label").alias("near"))
+        new = cut(labels.join(near, F.col("node") == F.col("src")).select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")))
+        labels = new.select("node", "label")
+        if new.where("moved").isEmpty():
+            return labels
+
+
+def call_paths(edges: DataFrame, depth: int) -> DataFrame:
+    """(path, nodes, ending, back): from each root and then, in rounds, from the least node with edges that no path has met,
+    one in each set that hangs together, so that cycles without a root give paths too.
+
+    ending: leaf, limit (`depth` nodes with ways on), or cycle, a row for each edge back to a node of the path (`back`).
+    """
+    links = cut(edges.where("dst is not null").select("src", "dst").distinct())
+    sources = links.select(F.col("src").alias("node")).distinct()
+    starts, done, met, labels = sources.join(links.select(F.col("dst").alias("node")), "node", "left_anti"), None, None, None
+    while True:
+        grown = cut(starts.select(F.array("node").alias("path"), F.col("node").alias("at")))
+        for size in range(1, depth + 1):
+            met = grown.select(F.col("at").alias("node")) if met is None else met.union(grown.select("at"))
+            on = grown.join(links, F.col("at") == F.col("src"), "left").withColumn("again", F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False)))
+            ending = F.when(F.col("dst").isNull(), "leaf").when(F.lit(size == depth), "limit").when(F.col("again"), "cycle")
+            ended = on.select("path", ending.alias("ending"), F.when(ending == "cycle", F.col("dst")).alias("back")).where("ending is not null").distinct()
+            done = ended if done is None else done.unionByName(ended)
+            if size < depth:
+                grown = cut(on.where(F.col("dst").isNotNull() & ~F.col("again")).select(F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("at")))
+        met, done = cut(met.distinct()), cut(done)
+        rest = cut(sources.join(met, "node", "left_anti"))
+        if rest.isEmpty():
+            return done.select(F.array_join("path", ">").alias("path"), F.size("path").alias("nodes"), "ending", "back")
+        labels = _labels(links) if labels is None else labels
+        starts = rest.join(labels, "node").groupBy("label").agg(F.min("node").alias("node"))
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, layer): parents (src) stand in lower layers than children (dst). What a cycle holds back has layer null."""
     rest, placed, layer = cut(nodes.select("node").distinct()), None, 0

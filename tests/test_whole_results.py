@@ -16,3 +16,23 @@ def test_short_passages_are_found(spark, block):
     items = spark.createDataFrame([(1, "beta"), (2, "alpha beta"), (3, "beta gamma delta"), (4, "gamma"), (5, "lphabet a"), (6, None), (7, "epsilon")], "item_id long, passage string")
     want = [(d.doc_id, i.item_id) for d in docs.collect() for i in items.collect() if d.text is not None and i.passage is not None and i.passage in d.text]
     assert _rows(search.holding(docs, items, block)) == sorted(want, key=repr)
+
+
+def test_membership_goes_on_to_the_end(spark, monkeypatch, sf):
+    chain = [(f"n{k}", f"n{k + 1}") for k in range(12)] + [("n12", "n3"), ("n5", None)]
+    monkeypatch.setattr(retrieval, "_edges", lambda *_: spark.createDataFrame(chain, "src string, dst string"))
+    got = {r.member: r.distance for r in retrieval.reach_membership(spark, sf).where("application = 'n0'").collect()}
+    assert got == {f"n{k}": k for k in range(1, 13)}
+
+
+def test_reach_carries_evidence(spark):
+    edges = spark.createDataFrame([("a", "b", ["e1"]), ("b", "c", ["e2", "e1"]), ("c", "a", ["e3"])], "src string, dst string, evidence array<string>")
+    got = _rows(graph.reach(edges, spark.createDataFrame([("s", "a")], "seed string, node string")))
+    assert got == [("s", "a", 0, []), ("s", "b", 1, ["e1"]), ("s", "c", 2, ["e1", "e2"])]
+
+
+def test_paths_of_cycles_without_roots_and_of_each_edge_back(spark):
+    edges = spark.createDataFrame([("p", "q"), ("q", "p"), ("a", "b"), ("b", "c"), ("c", "b"), ("c", "d"), ("z", "z")], "src string, dst string")
+    want = [("a>b>c", 3, "cycle", "b"), ("a>b>c>d", 4, "leaf", None), ("p>q", 2, "cycle", "p"), ("z", 1, "cycle", "z")]
+    assert _rows(graph.call_paths(edges, 5)) == want
+    assert _rows(graph.call_paths(edges, 2)) == [("a>b", 2, "limit", None), ("c>b", 2, "limit", None), ("c>d", 2, "leaf", None), ("p>q", 2, "limit", None), ("z", 1, "cycle", "z")]
