@@ -50,7 +50,21 @@ def settled(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table written in the shared folder: lineage ends there, and a lost executor costs nothing."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table.settled_at = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes settled tables that nothing reads any more, so that a job holds only what it still needs."""
+    for table in tables:
+        delete(table.sparkSession, table.settled_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared store, by the file system that Spark writes with."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def lower_ascii(col: Column) -> Column:

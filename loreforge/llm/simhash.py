@@ -97,26 +97,37 @@ def _flips(free: list[int]) -> np.ndarray:
     return np.array(one + [a ^ b for a, b in combinations(one, 2)] + [a ^ b ^ c for a, b, c in combinations(one, 3)], np.uint64)
 
 
+def _joined(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The root of each member once a[i] and b[i] are in one set: larger roots are hooked below smaller ones, and paths
+    are halved until all members point at their root."""
+    x, y = root[a], root[b]
+    while len(x):
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+        x, y = root[x], root[y]
+        apart = x != y
+        x, y = x[apart], y[apart]
+    return root
+
+
 def _spanning_five(bits: np.ndarray, positions: tuple[int, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The same for a list that shares five bytes: where it is long, its fingerprints look up each of the 2,324 changes."""
     if len(bits) <= LONG_LIST:
         yield from _spanning(bits)
         return
     bits = np.sort(bits)
-    label = np.arange(len(bits))
+    root = np.arange(len(bits))
     flips = _flips([p for p in range(BYTES) if p not in positions])
     for flip in flips:
         other = bits ^ flip
         at = np.minimum(np.searchsorted(bits, other), len(bits) - 1)
         hit = np.flatnonzero((bits[at] == other) & (at > np.arange(len(bits))))
         if len(hit):  # only links that join what is apart so far
-            new = hit[label[hit] != label[at[hit]]]
+            new = hit[root[hit] != root[at[hit]]]
             if len(new):
                 yield bits[new], bits[at[new]]
-                for i, j in zip(new.tolist(), at[new].tolist()):
-                    x, y = label[i], label[j]
-                    if x != y:
-                        label[label == max(x, y)] = min(x, y)
+                root = _joined(root, new, at[new])
 
 
 def _by_list(frame: DataFrame, five: bool) -> DataFrame:
@@ -168,6 +179,8 @@ FIVES = list(combinations(range(BYTES), MIN_SHARED))
 def links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that join what is linked among distinct fingerprints (column bits), with no link between sets lost.
 
+    The index is by positions of bytes, three at a time: a list of one byte would have 1/256 of all fingerprints. Who
+    shares a list is tallied by the bytes of the pair's XOR that are zero (five at least) and verified by its bits.
     Each fingerprint is posted under eight triples of its bytes. Lists of one are dropped by a count that is summed up
     before its shuffle. A list too long to be compared pair by pair is split: a linked pair shares two more bytes, so its
     fingerprints are posted under the five-byte keys that contain the triple. Such a list has at most 2^24 fingerprints,
@@ -199,6 +212,7 @@ def components(edges: DataFrame) -> DataFrame:
         smaller = larger.join(least, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.a", "e.b").where("a <> b").distinct()
         new = common.settled(smaller, "components")
         before, after = (x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for x in (pairs, new))
+        common.drop(pairs)
         pairs = new
         if before == after:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -253,14 +267,16 @@ def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
     if alike:
         # A node is a distinct text, by its least row; those of a set of fingerprints hang together by the least of the set.
         sets = common.settled(sets, "simhash-sets")
-        texts = light.groupBy("bits", "digest").agg(F.min("row").alias("row"), F.min(order).alias("first"))
-        texts = common.settled(texts.join(sets.select("bits", F.col("root").alias("set")), "bits").select("row", "set", "first"), "simhash-texts")
-        heads = texts.groupBy("set").agg(F.min("row").alias("root"))
-        nodes = common.settled(texts.join(heads, "set").join(light.select("row", "size", "keys"), "row").select(F.col("row").alias("node"), "root", "first", "size", "keys"), "simhash-nodes")
+        texts = light.groupBy("bits", "digest").agg(F.min(F.struct("row", "size", "keys")).alias("node"), F.min(order).alias("first"))
+        texts = common.settled(texts.join(sets.select("bits", F.col("root").alias("set")), "bits").select("node", "set", "first"), "simhash-texts")
+        heads = texts.groupBy("set").agg(F.min("node.row").alias("root"))
+        nodes = common.settled(texts.join(heads, "set").select(F.col("node.row").alias("node"), "root", "first", "node.size", "node.keys"), "simhash-nodes")
+        common.drop(sets, texts)
         near = similar.links(nodes, marked.select(F.col(row).alias("node"), "text"), components)
         roots = components(near.union(nodes.where("node <> root").select("root", "node")))
         sets = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
-    stay = sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays"))
+    stay = common.settled(sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays")), "simhash-stay")
+    common.drop(distinct, *([nodes] if alike else []))
     return marked.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
 
 
