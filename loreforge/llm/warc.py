@@ -18,9 +18,16 @@ END = "\r\n\r\n"
 REVISIT_BYTES = 100
 #: Candidates are linked within stretches of so many bytes, then stretches by pointer jumping.
 STRETCH = 1 << 20
+#: A head has at most so many fields; a candidate with more is none.
+HEAD_FIELDS = 64
+#: Slots that the digests of shared payloads are hashed to: what is broadcast has at most so many rows.
+SLOTS = 1 << 20
+#: A file closes after as many records as make up so many bytes on average.
+FILE_BYTES = 64 << 20
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_FIELD = re.compile(rb"^([\w-]+):[ \t]*(.*?)\r?$", re.M)
-_PAGE = re.compile(rb"<urn:page:(-?\d+)>")
+_FIELD = re.compile(rb"([\w-]+):[ \t]*(.*)")
+_NUMBER = re.compile(rb"\d{1,15}")
+_PAGE = re.compile(rb"<urn:page:(-?\d{1,19})>")
 
 CANDIDATES = T.StructType(
     [T.StructField("file", T.StringType())]
@@ -29,19 +36,28 @@ CANDIDATES = T.StructType(
 )
 
 
-def records(pages: DataFrame) -> DataFrame:
-    """A row for each page with its record as text, without the closing blank lines.
+def payloads(pages: DataFrame) -> DataFrame:
+    """page_id, url, payload (null html: empty), its digest and bytes."""
+    src = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
+    return src.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
+
+
+def records(src: DataFrame, digests: DataFrame) -> DataFrame:
+    """A row for each page (as payloads() gives them) with its record as text, without the closing blank lines.
 
-    The smallest page_id of each payload is looked up by digest; a digest that many pages share is summed up before the
-    shuffle, and its pages are split by the skew-join rule. Null html: an empty payload. Rows that repeat the smallest
-    page_id are responses too; a null page_id is never referred to; line breaks in a url become spaces.
+    digests: (page_id, digest, n) of all pages. The smallest page_id of each payload is looked up by digest; only pages whose
+    digest falls into a slot of a shared one are shuffled for that, with all others written where they are read. A digest
+    that many pages share is summed up before the shuffle, and its pages are split by the skew-join rule. Rows that repeat
+    the smallest page_id are responses too; a null page_id is never referred to; line breaks in a url become spaces.
     """
-    src = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).alias("payload"))
-    src = src.withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    light = pages.select("page_id", F.coalesce(F.col("html"), F.lit("")).alias("payload")).withColumns({"digest": F.sha2("payload", 256), "n": F.octet_length("payload")})
-    shared = light.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("holder"), F.count("*").alias("copies"))
-    shared = shared.where((F.col("copies") > 1) & F.col("holder").isNotNull()).select("digest", "holder")
-    rows = src.join(shared, "digest", "left").withColumn("again", F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")))
+    slot = F.when(F.col("n") >= REVISIT_BYTES, F.pmod(F.xxhash64("digest"), F.lit(SLOTS))).alias("slot")
+    shared = digests.where(F.col("n") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("holder"), F.count("*").alias("copies"))
+    shared = shared.where((F.col("copies") > 1) & F.col("holder").isNotNull()).select("digest", F.lit(REVISIT_BYTES).alias("n"), "holder")
+    slots = F.broadcast(shared.select(slot).distinct())
+    src = src.select("*", slot)
+    looked_up = src.join(slots, "slot", "left_semi").join(shared.drop("n"), "digest", "left")
+    rows = src.join(slots, "slot", "left_anti").withColumn("holder", F.lit(None).cast("long")).unionByName(looked_up)
+    rows = rows.withColumn("again", F.col("holder").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("holder")))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n"), F.lit(END))
     block = F.when(F.col("again"), F.lit("")).otherwise(F.concat(http, F.col("payload")))
     uri = F.regexp_replace("url", r"[\x00-\x20\x7f]+", " ")
@@ -73,29 +89,57 @@ def records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str) -> None:
-    """Plain WARC files; each is about as large as a partition after the join, which adaptive execution bounds."""
-    records(pages).write.option("lineSep", END).text(path)
+    """Plain WARC files. One has about FILE_BYTES; beyond 2 GiB, which Spark could not read back, it would only be if its
+    pages were 32 times as long as those of the table are on average."""
+    src = payloads(pages)
+    digests = common.settled(src.select("page_id", "digest", "n"), "warc-digests")
+    mean = digests.agg(F.avg("n")).first()[0] or 0
+    records(src, digests).write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(FILE_BYTES / (mean + 500)))).text(path)
+    common.drop(digests)
+
+
+def _fields(data: bytes, at: int) -> tuple[dict[bytes, bytes], int] | None:
+    """The fields of a head and where its body starts; None at the first line that is no field, or beyond HEAD_FIELDS."""
+    fields: dict[bytes, bytes] = {}
+    for _ in range(HEAD_FIELDS + 1):
+        end = data.find(b"\r\n", at)
+        if end == at:
+            return fields, at + 2
+        found = _FIELD.fullmatch(data[at:end]) if end > 0 else None
+        if not found:
+            return None
+        fields[found[1].lower()] = found[2]
+        at = end + 2
+    return None
+
+
+def _page(value: bytes) -> int | None:
+    found = _PAGE.fullmatch(value.strip())
+    return int(found[1]) if found and -(1 << 63) <= int(found[1]) < 1 << 63 else None
 
 
 def _candidate(data: bytes, at: int) -> tuple | None:
-    """What a record that starts here would be: successor, page_id, payload bytes, digest, type, refers_to."""
-    head_end = data.find(b"\r\n\r\n", at)
-    if head_end < 0:
+    """What a record that starts here would be: successor, page_id, payload bytes, digest, type, refers_to.
+
+    Bytes of payloads get here too: whatever they hold, they make a candidate or none, and never an error.
+    """
+    head = _fields(data, at + len(MAGIC))
+    if not head:
         return None
-    fields = {k.lower(): v for k, v in _FIELD.findall(data[at + len(MAGIC) : head_end])}
-    length = fields.get(b"content-length", b"")
-    if not length.isdigit():
+    fields, body = head
+    length, size = fields.get(b"content-length", b""), fields.get(b"warc-payload-length", b"0")
+    if not _NUMBER.fullmatch(length) or not _NUMBER.fullmatch(size):
         return None
-    body, stop = head_end + 4, head_end + 4 + int(length)
+    stop = body + int(length)
     if data[stop : stop + 4] != b"\r\n\r\n":
         return None
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
-    page, to = _PAGE.search(fields.get(b"warc-record-id", b"")), _PAGE.search(fields.get(b"warc-refers-to", b""))
-    digest, size = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace"), fields.get(b"warc-payload-length", b"0")
+    digest, n = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace"), int(size)
     if kind == "response":
-        payload = data[data.find(b"\r\n\r\n", body) + 4 : stop]
-        digest, size = hashlib.sha256(payload).hexdigest(), len(payload)
-    return stop + 4, int(page[1]) if page else None, int(size) if str(int(size)).isdigit() else 0, digest, kind, int(to[1]) if to else None
+        start = data.find(b"\r\n\r\n", body, stop)
+        payload = memoryview(data)[start + 4 if start >= 0 else body : stop]
+        digest, n = hashlib.sha256(payload).hexdigest(), len(payload)
+    return stop + 4, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, _page(fields.get(b"warc-refers-to", b""))
 
 
 def _stretch(data: bytes, lo: int, hi: int) -> list[tuple]:
@@ -149,29 +193,43 @@ def verified(found: DataFrame) -> DataFrame:
     links = found.where("exit >= 0").select("file", F.col("offset").alias("at"), "exit")
     targets = links.select("file", F.col("exit").alias("at")).union(links.where("at = 0").select("file", "at")).distinct()
     jump = common.settled(links.join(targets, ["file", "at"], "left_semi"), "warc-jump")
-    reached = found.where("offset = 0").select("file", F.col("offset").alias("at"))
+    reached = common.settled(found.where("offset = 0").select("file", F.col("offset").alias("at")), "warc-reached")
     longest = found.agg(F.max("stretch")).first()[0]
     rounds = math.ceil(math.log2(longest + 2)) if longest is not None else 0
-    for k in range(rounds):
+    for _ in range(rounds):
         step = reached.join(jump, ["file", "at"]).select("file", F.col("exit").alias("at"))
-        reached = common.settled(reached.union(step).distinct(), "warc-reached")
-        if k + 1 < rounds:
-            onward = jump.select("file", F.col("at").alias("exit"), F.col("exit").alias("beyond"))
-            jump = common.settled(jump.join(onward, ["file", "exit"]).select("file", "at", F.col("beyond").alias("exit")), "warc-jump")
+        onward = jump.select("file", F.col("at").alias("exit"), F.col("exit").alias("beyond"))
+        further = common.settled(reached.union(step).distinct(), "warc-reached"), common.settled(jump.join(onward, ["file", "exit"]).select("file", "at", F.col("beyond").alias("exit")), "warc-jump")
+        common.drop(reached, jump)
+        reached, jump = further
     entries = found.join(reached.withColumnRenamed("at", "offset"), ["file", "offset"], "left_semi").select("file", "stretch", F.col("first").alias("entry"))
-    return found.join(entries, ["file", "stretch"]).where("first <= entry and entry <= last")
+    records = common.settled(found.join(entries, ["file", "stretch"]).where("first <= entry and entry <= last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset"), "warc-records")
+    common.drop(reached, jump)
+    return records
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each true record. Digests and sizes of responses are of the payloads as read."""
+    """One row for each true record. Digests and sizes of responses are of the payloads as read.
+
+    An empty folder has no records; a broken chain keeps the records before the break; repeated records are kept each.
+    """
     found = common.settled(candidates(spark, path), "warc-candidates")
-    return verified(found).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "file", "offset")
+    records = verified(found)
+    common.drop(found)
+    return records
 
 
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the archives of all pages, reads them back, and returns a row for each record read.
+
+    Null html is an empty payload, null page_id is kept and never referred to, rows that repeat a page are records each, an
+    empty table gives no rows, and other columns of the table are not read. The archives are deleted once they are read.
+    """
     path = common.shared_path(spark, "warc")
     write_archives(common.table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    common.delete(spark, path)
+    return found
 
 
 SQL = """

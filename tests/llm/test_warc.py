@@ -1,4 +1,5 @@
 import hashlib
+import time
 
 from loreforge.llm import common, warc
 
@@ -39,3 +40,42 @@ def test_broken_chain_keeps_what_comes_before(spark):
     rows = warc._stretch(one + bad + one, 0, 1000)
     assert [r[0] for r in rows] == [0, len(one) + len(bad)]
     assert rows[0][1] == -1
+
+
+def test_no_payload_breaks_the_reader(spark):
+    """Bad lengths, ids beyond 64 bits, numbers of thousands of digits, endless heads: candidates or none, never an error."""
+    head = "WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <urn:page:{page}>\r\nWARC-Payload-Length: {size}\r\nContent-Length: {length}\r\n\r\nabcd\r\n\r\n"
+    bad = [dict(size="abc"), dict(page="9" * 30), dict(length="9" * 5000), dict(size="9" * 5000), dict(length="-4"), dict(size=""), dict(page="x", kind="revisit"), dict(length="²")]
+    html = [head.format(**({"kind": "response", "page": 7, "size": 4, "length": 4} | b)) * 3 + f"page {i}" for i, b in enumerate(bad)]
+    html += ["WARC/1.1\r\n" + "A: b\r\n" * 200, "WARC/1.1\r\n\r\n", "WARC/1.1\r\nContent-Length: 4\r\n", "\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"]
+    pages = spark.createDataFrame([(i, "u", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    path = common.shared_path(spark, "test-warc")
+    warc.write_archives(pages.coalesce(1), path)
+    got = {r.page_id: r for r in warc.read_archives(spark, path).collect()}
+    assert set(got) == set(range(len(html)))
+    assert all(got[i].payload_digest == hashlib.sha256(h.encode()).hexdigest() for i, h in enumerate(html))
+
+
+def test_work_is_in_proportion_to_repeated_magic():
+    def seconds(data):
+        began = time.perf_counter()
+        warc._stretch(data, 0, len(data))
+        return time.perf_counter() - began
+
+    for piece in (b"WARC/1.1\r\n", b"A: WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n"):
+        small, large = seconds(piece * 5_000), seconds(piece * 40_000)
+        assert large < 24 * small + 0.5, piece
+
+
+def test_files_are_bounded_and_shared_payloads_found_over_them(spark, monkeypatch):
+    monkeypatch.setattr(warc, "FILE_BYTES", 20_000)
+    monkeypatch.setattr(warc, "SLOTS", 4)  # slots of shared digests hold others too
+    rows = [(i, "u", f"{i % 60 if i % 2 else i:05d}" * 30) for i in range(300)]
+    path = common.shared_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2), path)
+    assert spark.read.format("binaryFile").load(path).count() > 4
+    first = {}
+    for i, _, h in rows:
+        first.setdefault(h, i)
+    got = {r.page_id: r.refers_to for r in warc.read_archives(spark, path).collect()}
+    assert got == {i: (first[h] if first[h] != i else None) for i, _, h in rows}
