@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from itertools import chain
 
 import numpy as np
@@ -81,6 +82,13 @@ class WordTokens:
             to.update(zip(some, self._letters(some, spaced), strict=True))
         to.update(zip(rest, self._ids([f" {w}" for w in rest] if spaced else rest), strict=True))
 
+    def _whole(self, part: str) -> bool:
+        """Whether a part is signs, or letters that are as many letters still once a vocabulary without case has lowered them."""
+        if not part.isalpha():
+            return not part[0].isalnum()
+        low = part if self.glued else unicodedata.normalize("NFC", part).lower()
+        return len(low) == len(part) and low.isalpha()
+
     def _learn(self, words: set[str]) -> None:
         """Encodes words that are new here. Letters, signs after them and a line break are cut apart first, as every
         pattern of these vocabularies does.
@@ -97,7 +105,7 @@ class WordTokens:
         for w in new:
             if w.isalpha():
                 continue
-            if (found := _PARTS.fullmatch(w)) and (cut := [x for x in found.groups() if x]) and (w.isascii() or all(x.isalpha() or not x[0].isalnum() for x in cut)):
+            if (found := _PARTS.fullmatch(w)) and (cut := [x for x in found.groups() if x]) and (w.isascii() or all(self._whole(x) for x in cut)):
                 parts[w] = cut
             elif self.glued and (not w or w[0].isspace() or w[-1].isspace()):
                 known[w] = None
