@@ -30,11 +30,12 @@ BETWEEN = " .-_*~'`´^,:;/\\|+="
 SUBSTITUTED, LEFT_OUT, KEPT, REPEATED = 1.5, 0.7, 6.0, 0.3
 #: Words whose features a worker keeps.
 CACHE_WORDS = 300_000
-FEATURE_BITS, MAX_FEATURES, PREFIXES = 22, 4096, (4, 5, 6)
+FEATURE_BITS, PREFIXES = 22, (4, 5, 6)
 
 _EDGE = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "«»“”„‚‘’…–—¿"
-_THRICE = re.compile(r"([^\W\d_])\1\1")
-_SPELT = re.compile(r"(?<![^\s])[^\s](?:[ .\-_*]{1,2}[^\s](?![^\s.\-_*])){3,}(?=[\s.,!?]|\Z)")
+_TWICE = re.compile(r"([^\W\d_])\1")
+#: Three single signs or more with one to three separators between them. No sign is both, so a text is read once.
+_SPELT = re.compile(r"(?<!\S)[^\s.\-_*](?:[ .\-_*]{1,3}[^\s.\-_*](?![^\s.\-_*])){2,}")
 
 
 class CharModel:
@@ -45,7 +46,11 @@ class CharModel:
         two, one = three.sum(axis=0), three.sum(axis=(0, 1))
         p = (one + 1) / (one.sum() + SIZE)
         p = (two + 5 * p) / (two.sum(axis=1, keepdims=True) + 5)
-        self.cost = -np.log((three + 3 * p[None]) / (three.sum(axis=2, keepdims=True) + 3)).astype(np.float32)
+        self.cost = (-np.log((three + 3 * p[None]) / (three.sum(axis=2, keepdims=True) + 3))).astype(np.float32).tolist()
+        self.decoded: dict[str, list[str]] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"decoded": {}}
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
@@ -58,7 +63,7 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             end += 1
         n = end - at
         if c.isalpha():
-            ways = [(c * n, 0.0)] if n < 3 else [(c, REPEATED), (c * 2, REPEATED)]
+            ways = [(c, 0.0)] if n == 1 else [(c, REPEATED), (c * 2, 0.0 if n == 2 else REPEATED)]
         else:
             ways = [(letter, SUBSTITUTED) for letter in LEET.get(c, "")]
             if n > 1:
@@ -73,51 +78,71 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
 
 
 def decode(token: str, model: CharModel) -> str:
-    """The likeliest reading of a token; a token without signs or long runs has one reading only.
+    """The likeliest reading of a token.
 
-    States are the last two symbols, with the best reading so far of each; so time is in proportion to the length.
+    States are the last two symbols, with the cheapest way to each; so time and memory are in proportion to the length.
     """
     cost = model.cost
-    beam: dict[tuple[int, int], tuple[float, str]] = {(GAP, GAP): (0.0, "")}
+    spent: dict[tuple[int, int], float] = {(GAP, GAP): 0.0}
+    back: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
     for ways in lattice(token):
-        after: dict[tuple[int, int], tuple[float, str]] = {}
-        for (x, y), (spent, text) in beam.items():
+        after: dict[tuple[int, int], float] = {}
+        came: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        for (x, y), so_far in spent.items():
             for reading, extra in ways:
-                a, b, total = x, y, spent + extra
+                a, b, total = x, y, so_far + extra
                 for c in reading:
                     k = _SYMBOL.get(c, OTHER if c.isalpha() else GAP)
-                    total += float(cost[a, b, k])
+                    total += cost[a][b][k]
                     a, b = b, k
-                if (a, b) not in after or total < after[a, b][0]:
-                    after[a, b] = (total, text + reading)
-        beam = after
-    return min((spent + float(cost[x, y, GAP]), text) for (x, y), (spent, text) in beam.items())[1]
-
-
-def suspicious(token: str) -> bool:
-    """Whether a token without the signs at its ends mixes letters with others, or has a letter three times in a row."""
-    if token.isalpha():
-        return bool(_THRICE.search(token))
-    return any(c.isalpha() for c in token)
+                if (a, b) not in after or total < after[a, b]:
+                    after[a, b], came[a, b] = total, ((x, y), reading)
+        spent = after
+        back.append(came)
+    at = min(spent, key=lambda s: (spent[s] + cost[s[0]][s[1]][GAP], s))
+    readings = []
+    for came in reversed(back):
+        at, reading = came[at]
+        readings.append(reading)
+    return "".join(reversed(readings))
+
+
+def ambiguous(token: str) -> bool:
+    """Whether a token has more than one reading that holds a letter; a word of letters none of which is doubled has itself only."""
+    return bool(_TWICE.search(token)) if token.isalpha() else any(c.isalpha() for c in token)
+
+
+def _decoded(token: str, model: CharModel) -> list[str]:
+    """Words of the likeliest reading; those of frequent tokens are kept by the worker."""
+    words = model.decoded.get(token)
+    if words is None:
+        if len(model.decoded) > CACHE_WORDS:
+            model.decoded.clear()
+        words = model.decoded[token] = _letters(decode(token, model))
+    return words
 
 
 def restore(text: str, model: CharModel) -> set[str]:
-    """The distinct words of a text in lower case, as written and as restored."""
+    """The distinct words of a text in lower case, as written and as restored.
+
+    Each token goes through the lattice. One that has a single reading (letters, none of them doubled) is that reading.
+    """
     low = text.lower()
     words: set[str] = set()
     for token in set(low.split()):
-        if token.isalpha() and not _THRICE.search(token):
+        if token.isalpha():
             words.add(token)
+            if _TWICE.search(token):
+                words.update(_decoded(token, model))
             continue
         bare = token.strip(_EDGE)
         words.update((bare, *_letters(bare)))
-        if bare and bare.isalpha() and not _THRICE.search(bare) and token.lstrip(_EDGE) != token and token[0] in LEET and not token.startswith(token[0] * 2):
-            bare = token.rstrip(".,!?;:")  # a sign in front may be its first letter
-            words.update(_letters(decode(bare, model)))
-        elif suspicious(bare):
+        if bare and bare.isalpha() and not _TWICE.search(bare) and token.lstrip(_EDGE) != token and token[0] in LEET and not token.startswith(token[0] * 2):
+            words.update(_decoded(token.rstrip(".,!?;:"), model))  # a sign in front may be its first letter
+        elif ambiguous(bare):
             front = token.rstrip(".,?;:") if token[0] in LEET else bare
             for reading in {bare, front, token.rstrip(".,?;:")} if token[-1] in LEET or token[0] in LEET else {bare}:
-                words.update(_letters(decode(reading, model)))
+                words.update(_decoded(reading, model))
     for found in _SPELT.finditer(low):
         words.update(_letters(decode(found[0], model)))
     words.discard("")
@@ -154,8 +179,8 @@ class Scorer:
                 toxic[row] += 1
         rate = positive / n
         gain = (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1)
-        best = np.argsort(-gain, kind="stable")[:MAX_FEATURES]
-        best = best[(gain[best] > 2.5) & (toxic[best] >= 2) & (toxic[best] > 3 * rate * seen[best])]
+        best = np.flatnonzero(gain > 2.5)
+        best = best[(toxic[best] >= 2) & (toxic[best] > 3 * rate * seen[best])]
         self.number = {int(k): i for i, k in enumerate(best)}
         column = np.full(1 << FEATURE_BITS, -1, np.int32)
         column[best] = np.arange(len(best))
@@ -235,7 +260,7 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hel
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; null and empty texts get the score of a text without features."""
-    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # MAX_FEATURES weights and SIZE^3 costs
+    model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 2^FEATURE_BITS weights at most, and SIZE^3 costs
 
     def run(batches):
         for batch in common.slices(batches):

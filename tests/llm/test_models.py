@@ -1,7 +1,9 @@
 import math
 import re
+import time
 import zlib
 from collections import Counter
+from itertools import product
 
 import numpy as np
 import pytest
@@ -61,6 +63,65 @@ def test_obfuscated_words_are_restored(tables):
         assert model.score(text) < toxicity.THRESHOLD, text
 
 
+def _cheapest(token, model):
+    """All readings of a lattice, one by one."""
+    best = None
+    for ways in product(*toxicity.lattice(token)):
+        a, b, total = toxicity.GAP, toxicity.GAP, 0.0
+        for reading, extra in ways:
+            total += extra
+            for c in reading:
+                k = toxicity._SYMBOL.get(c, toxicity.OTHER if c.isalpha() else toxicity.GAP)
+                total += model.cost[a][b][k]
+                a, b = b, k
+        total += model.cost[a][b][toxicity.GAP]
+        best = min(best or (math.inf, ""), (total, "".join(r for r, _ in ways)))
+    return best
+
+
+def test_viterbi_finds_the_cheapest_of_all_readings():
+    rng = np.random.default_rng(7)
+    model = toxicity.CharModel(rng.integers(0, 9, toxicity.SIZE**3))
+    for token in ("st*pid", "1d10t", "l-o-s-e-r", "aab11*s", "so", "$$cc--um", "b00o0k", "ééa@", "x", "--"):
+        reading = toxicity.decode(token, model)
+        total, _ = _cheapest(token, model)
+        costs = {"".join(r for r, _ in ways): None for ways in product(*toxicity.lattice(token))}
+        assert reading in costs
+        # the reading's own cheapest way costs what the cheapest of all does
+        own = min(
+            sum(extra for _, extra in ways) + _spent("".join(r for r, _ in ways), model)
+            for ways in product(*toxicity.lattice(token))
+            if "".join(r for r, _ in ways) == reading
+        )
+        assert math.isclose(own, total, rel_tol=1e-9), token
+
+
+def _spent(text, model):
+    a, b, total = toxicity.GAP, toxicity.GAP, 0.0
+    for c in text:
+        k = toxicity._SYMBOL.get(c, toxicity.OTHER if c.isalpha() else toxicity.GAP)
+        total += model.cost[a][b][k]
+        a, b = b, k
+    return total + model.cost[a][b][toxicity.GAP]
+
+
+@pytest.mark.parametrize("sign", list("-*_.~=#|+!/ ") + ["- ", " -", "a ", "a- ", "* *"])
+def test_rules_of_signs_and_long_tokens_take_little_time(sign):
+    model = toxicity.CharModel(np.ones(toxicity.SIZE**3, int))
+    began = time.perf_counter()
+    for text in (f"see {sign * 10_000}Original Message", f"{sign * 10_000}END", sign * 10_000 + "(name)"):
+        toxicity.restore(text, model)
+    assert time.perf_counter() - began < 3
+    assert len(toxicity.restore("x" * 200_000 + "ab" * 100_000, model)) == 2
+
+
+def test_doubled_letters_and_short_spelt_words_are_decoded(tables):
+    docs, labels = tables
+    model = toxicity.train(docs, labels)
+    for text, word in (("so stuupid", "stupid"), ("an iddiot", "idiot"), ("you s c u m", "scum")):
+        assert word in toxicity.restore(text, model.chars), text
+
+
 def test_language(spark, tables):
     docs, _ = tables
     rows = {r.doc_id: r for r in language.identify(docs).collect()}
