@@ -151,20 +151,50 @@ def test_suffix_tree(tables, monkeypatch, share):
         assert sum(r.score for i, r in rows.items() if held[i] == fold) > sum(r.base_score for i, r in rows.items() if held[i] == fold)
 
 
-def test_suffix_tree_chances_sum_to_one():
+def _grams():
     rng = np.random.default_rng(3)
-    texts = [" ".join("".join(rng.choice(list("abc"), 3)) for _ in range(200)).encode() for _ in range(20)]
-    keys = suffix_tree.Chunk(texts).keys
-    level, key, n = [], [], []
-    for k in range(suffix_tree.DEPTH + 1):
-        distinct, count = np.unique(keys & np.uint64((1 << (8 * (k + 1))) - 1), return_counts=True)
-        level.append(np.full(len(distinct), k))
-        key.append(distinct.astype(np.int64))
-        n.append(count)
-    tree = suffix_tree.Tree(np.concatenate(level), np.concatenate(key), np.concatenate(n))
-    assert any(len(states) for states, *_ in tree.levels)
+    texts = [" ".join("".join(rng.choice(list("abc"), 3)) for _ in range(200)).encode() for _ in range(20)] + [b"\xff\xfe high bytes \xf0\x9f\x98\x80" * 5]
+    return suffix_tree.Chunk(texts).keys
+
+
+def test_states_are_those_that_a_plain_divergence_test_keeps(spark):
+    keys = _grams()
+    distinct, n = np.unique(keys, return_counts=True)
+    counts = [Counter() for _ in range(suffix_tree.DEPTH + 1)]
+    for key, c in zip(distinct.tolist(), n.tolist()):
+        for k in range(suffix_tree.DEPTH + 1):
+            low = key & (1 << 8 * (k + 1)) - 1
+            counts[k][low >> 8, low & 255] += c
+    want = {(0, 0)}
+    for k in range(1, suffix_tree.DEPTH + 1):
+        total, before = Counter(), Counter()
+        for (context, _), c in counts[k].items():
+            total[context] += c
+        for (context, _), c in counts[k - 1].items():
+            before[context] += c
+        gain, kinds = Counter(), Counter()
+        for (context, byte), c in counts[k].items():
+            short = context & (1 << 8 * (k - 1)) - 1
+            gain[context] += c * math.log(c / total[context] / (counts[k - 1][short, byte] / before[short]))
+            kinds[context] += 1
+        want |= {(k, context) for context in total if gain[context] >= 0.5 * kinds[context] * math.log(total[context] + 1)}
+    grams = spark.createDataFrame([(int(k), int(c)) for k, c in zip(distinct.view(np.int64), n)], "key long, n long")
+    kept = suffix_tree.states(grams)
+    rows = kept.collect()
+    assert {(r.level, r.context) for r in rows} == want and len({k for k, _ in want}) >= suffix_tree.DEPTH
+    for r in rows:
+        assert {p.key & 255: p.n for p in r.next} == {b: c for (x, b), c in counts[r.level].items() if x == r.context}
+    small = suffix_tree.grow(kept, 500)
+    assert 100 < sum(len(pairs) for _, _, _, pairs, _ in small.levels) <= 500
+
+
+def test_suffix_tree_chances_sum_to_one(spark):
+    keys = _grams()
+    distinct, n = np.unique(keys, return_counts=True)
+    tree = suffix_tree.grow(suffix_tree.states(spark.createDataFrame([(int(k), int(c)) for k, c in zip(distinct.view(np.int64), n)], "key long, n long")))
+    assert sum(len(states) > 0 for states, *_ in tree.levels) >= suffix_tree.DEPTH - 1
     for context in keys[50:60] >> np.uint64(8):
-        every = (np.uint64(int(context) << 8 & (1 << 56) - 1)) | np.arange(256, dtype=np.uint64)
+        every = (np.uint64(int(context) << 8 & (1 << 64) - 1)) | np.arange(256, dtype=np.uint64)
         assert math.isclose((10 ** tree.log(every)).sum(), 1, rel_tol=1e-9)
 
 
