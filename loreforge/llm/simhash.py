@@ -277,7 +277,7 @@ def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
         sets = nodes.select("node", "first").join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "first")
     stay = common.settled(sets.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias("stays")), "simhash-stay")
     common.drop(distinct, *([nodes] if alike else []))
-    return marked.join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
+    return marked.hint("merge").join(stay, F.col(row) == F.col("stays"), "left_semi").select(*docs.columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,7 +70,7 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(OF * shared >= SHARED * (len(mine) + len(other) - shared))
             yield pa.RecordBatch.from_arrays([batch.column(0), b], names=LINKS.names).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")), "a")
+    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("y")).hint("merge"), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("x")).hint("merge"), "a")
     return both.select("a", "b", "x", "y").mapInArrow(run, LINKS)
 
 
@@ -138,7 +138,7 @@ def _by_list(lists: DataFrame) -> DataFrame:
 def _mixed(post: DataFrame) -> DataFrame:
     """(key, node, root, size) rows of keys that nodes of several roots have, with the list's shingles in all."""
     lists = post.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("all"), F.min("root").alias("least"), F.max("root").alias("most"))
-    return post.join(lists.where("least < most").select("key", "n", "all"), "key")
+    return post.hint("merge").join(lists.where("least < most").select("key", "n", "all"), "key")
 
 
 def links(nodes: DataFrame, texts: DataFrame, components: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -149,14 +149,15 @@ def links(nodes: DataFrame, texts: DataFrame, components: Callable[[DataFrame],
     copies is the text. Lists that have nodes of several sets after that are compared in tasks, where what cannot be alike
     drops out at once and only links that join sets leave. A list of more than LONG shingles is split by the second key
     that its nodes share (of pairs that are just like enough, one in 5,000 has one key in common only), and one that is
-    too long still into pairs of blocks.
+    too long still into pairs of blocks. Joins with texts and postings are sort-merge joins at every size, so what is
+    shuffled is in proportion to the input.
     """
     lists = common.settled(_mixed(nodes.select("node", "root", "size", F.explode("keys").alias("key"))), "similar-lists")
     fame = lists.groupBy("node").agg(F.sum("n").alias("fame"))
     hubs = lists.join(fame, "node").groupBy("key").agg(F.max(F.struct("fame", "node", "root", "size")).alias("hub"))
     first = lists.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & _sizes_near(F.col("size"), F.col("hub.size")))
     first = common.settled(first.select(F.col("hub.node").alias("a"), F.col("node").alias("b")).distinct(), "similar-pairs")
-    asked = common.settled(texts.join(lists.select("node").distinct(), "node", "left_semi"), "similar-texts")
+    asked = common.settled(texts.hint("merge").join(lists.select("node").distinct(), "node", "left_semi"), "similar-texts")
     found = common.settled(_alike(first, asked), "similar-links")
     roots = components(found.union(nodes.where("node <> root").select("root", "node")))
     now = lists.drop("root", "n", "all").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), "size")
@@ -170,6 +171,6 @@ def links(nodes: DataFrame, texts: DataFrame, components: Callable[[DataFrame],
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     blocked = long.select("key", "node", "root", own.alias("own"), other).select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "node", "root")
-    within = common.settled(_by_list(short.union(blocked).join(asked, "node")), "similar-links")
+    within = common.settled(_by_list(short.union(blocked).join(asked.hint("merge"), "node")), "similar-links")
     common.drop(lists, first, asked, mixed, long)
     return found.union(within)
