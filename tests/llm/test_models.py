@@ -151,47 +151,60 @@ def test_suffix_tree(tables, monkeypatch, share):
         assert sum(r.score for i, r in rows.items() if held[i] == fold) > sum(r.base_score for i, r in rows.items() if held[i] == fold)
 
 
-def _grams():
+def _texts():
     rng = np.random.default_rng(3)
-    texts = [" ".join("".join(rng.choice(list("abc"), 3)) for _ in range(200)).encode() for _ in range(20)] + [b"\xff\xfe high bytes \xf0\x9f\x98\x80" * 5]
-    return suffix_tree.Chunk(texts).keys
+    return [" ".join("".join(rng.choice(list("abc"), 3)) for _ in range(200)).encode() for _ in range(20)] + [b"\xff\xfe high bytes \xf0\x9f\x98\x80" * 5, b"the same passage again and again " * 9]
+
+
+def _model(spark):
+    docs = spark.createDataFrame([(bytearray(t),) for t in _texts()], "text binary").repartition(3)
+    return common.settled(suffix_tree.model_table(docs), "test-suffix-model")
+
+
+def test_tasks_that_look_at_few_rows_together_keep_the_same_states(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.RecordBatch.from_arrays([pa.array(_texts())], names=["text"])
+    counted = pa.Table.from_batches([b for half in (texts.slice(0, 9), texts.slice(9)) for b in suffix_tree._counted([half])])
+    kind, key = counted["kind"].to_numpy(), counted["key"].to_numpy()
+    group = np.where(kind == suffix_tree.GRAM, (key.view(np.uint64) >> np.uint64(8) & np.uint64(0xFFFFFF)).view(np.int64), key)
+    ordered = counted.take(np.lexsort((group, kind)))
+    out = []
+    for rows in (1 << 20, 50):
+        monkeypatch.setattr(suffix_tree, "ROWS", rows)
+        table = pa.Table.from_batches(list(suffix_tree._summed(ordered.to_batches(max_chunksize=37))))
+        out.append(sorted(zip(*(table[c].to_pylist() for c in ("kind", "level", "key", "n")), strict=True)))
+    assert out[0] == out[1] and {r[0] for r in out[0]} == {0, 1, 2}
 
 
 def test_states_are_those_that_a_plain_divergence_test_keeps(spark):
-    keys = _grams()
-    distinct, n = np.unique(keys, return_counts=True)
+    keys = suffix_tree.Chunk(_texts()).keys
     counts = [Counter() for _ in range(suffix_tree.DEPTH + 1)]
-    for key, c in zip(distinct.tolist(), n.tolist()):
+    for key in keys.tolist():
         for k in range(suffix_tree.DEPTH + 1):
-            low = key & (1 << 8 * (k + 1)) - 1
-            counts[k][low >> 8, low & 255] += c
-    want = {(0, 0)}
+            counts[k][key & (1 << 8 * (k + 1)) - 1] += 1
+    want = dict(((0, key), c) for key, c in counts[0].items())
     for k in range(1, suffix_tree.DEPTH + 1):
-        total, before = Counter(), Counter()
-        for (context, _), c in counts[k].items():
-            total[context] += c
-        for (context, _), c in counts[k - 1].items():
-            before[context] += c
-        gain, kinds = Counter(), Counter()
-        for (context, byte), c in counts[k].items():
-            short = context & (1 << 8 * (k - 1)) - 1
-            gain[context] += c * math.log(c / total[context] / (counts[k - 1][short, byte] / before[short]))
-            kinds[context] += 1
-        want |= {(k, context) for context in total if gain[context] >= 0.5 * kinds[context] * math.log(total[context] + 1)}
-    grams = spark.createDataFrame([(int(k), int(c)) for k, c in zip(distinct.view(np.int64), n)], "key long, n long")
-    kept = suffix_tree.states(grams)
-    rows = kept.collect()
-    assert {(r.level, r.context) for r in rows} == want and len({k for k, _ in want}) >= suffix_tree.DEPTH
-    for r in rows:
-        assert {p.key & 255: p.n for p in r.next} == {b: c for (x, b), c in counts[r.level].items() if x == r.context}
+        total, before, gain, kinds = Counter(), Counter(), Counter(), Counter()
+        for key, c in counts[k].items():
+            total[key >> 8] += c
+        for key, c in counts[k - 1].items():
+            before[key >> 8] += c
+        for key, c in counts[k].items():
+            short = key & (1 << 8 * k) - 1
+            gain[key >> 8] += c * math.log(c / total[key >> 8] / (counts[k - 1][short] / before[short >> 8]))
+            kinds[key >> 8] += 1
+        want |= {(k, key): c for key, c in counts[k].items() if gain[key >> 8] >= 0.5 * kinds[key >> 8] * math.log(total[key >> 8] + 1)}
+    kept = suffix_tree.states(_model(spark))
+    got = {(r.level, r.key & (1 << 64) - 1): r.n for r in kept.collect()}
+    assert got == want and len({k for k, _ in want}) >= suffix_tree.DEPTH
     small = suffix_tree.grow(kept, 500)
     assert 100 < sum(len(pairs) for _, _, _, pairs, _ in small.levels) <= 500
 
 
 def test_suffix_tree_chances_sum_to_one(spark):
-    keys = _grams()
-    distinct, n = np.unique(keys, return_counts=True)
-    tree = suffix_tree.grow(suffix_tree.states(spark.createDataFrame([(int(k), int(c)) for k, c in zip(distinct.view(np.int64), n)], "key long, n long")))
+    keys = suffix_tree.Chunk(_texts()).keys
+    tree = suffix_tree.grow(suffix_tree.states(_model(spark)))
     assert sum(len(states) > 0 for states, *_ in tree.levels) >= suffix_tree.DEPTH - 1
     for context in keys[50:60] >> np.uint64(8):
         every = (np.uint64(int(context) << 8 & (1 << 64) - 1)) | np.arange(256, dtype=np.uint64)
