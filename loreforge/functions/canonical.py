@@ -61,3 +61,39 @@ def canonical(column: pd.Series) -> pd.DataFrame:
 def composed(column: pd.Series) -> pd.Series:
     """Unicode NFC."""
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+
+
+@F.pandas_udf(T.StringType())
+def folded(column: pd.Series) -> pd.Series:
+    """Unicode NFKC."""
+    return column.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+
+
+def scrub(drop: tuple[str, ...] = (), under: tuple[str, ...] | None = None, redact: tuple[str, ...] = ()):
+    """A column function over JSON text: keys in `drop` go (anywhere, or only below a key in `under`), values of keys in
+    `redact` are replaced whatever they are; the result is canonical. What is no JSON becomes null."""
+    hidden = {k.lower() for k in redact}
+
+    def walk(value, inside: bool):
+        if isinstance(value, list):
+            return [walk(v, inside) for v in value]
+        if not isinstance(value, dict):
+            return value
+        out = {}
+        for k, v in value.items():
+            if k in drop and (under is None or inside):
+                continue
+            out[k] = "[REDACTED]" if k.lower() in hidden else walk(v, inside or (under is not None and k in under))
+        return out
+
+    @F.pandas_udf(T.StringType())
+    def run(column: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return None if text is None else json.dumps(walk(json.loads(canonical_json(text)), False), ensure_ascii=False, separators=(",", ":"))
+            except ValueError:
+                return None
+
+        return column.map(one)
+
+    return run

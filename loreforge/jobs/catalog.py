@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exports, knowledge, retrieval
+from . import assembly, exports, inventory, knowledge, publication, retrieval, rules
+
+MODULES = (knowledge, retrieval, exports, assembly, inventory, rules, publication)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +16,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return knowledge.QUERIES | retrieval.QUERIES | exports.QUERIES
+    return {name: f for module in MODULES for name, f in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return knowledge.SQL | retrieval.SQL | exports.SQL
+    return {name: sql for module in MODULES for name, sql in module.SQL.items()}

@@ -8,18 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import relational, snapshots
 from ..sources.tables import table
+from .registry import Registry
 from .retrieval import _MASK_SQL
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return register
+R = Registry()
+QUERIES, SQL, query = R.queries, R.sql, R.query
 
 
 _SNAPSHOT_SQL = """r AS (SELECT 'document' AS kind, CAST(doc_id AS VARCHAR) AS id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)

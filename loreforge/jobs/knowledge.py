@@ -7,17 +7,10 @@ from pyspark.sql import functions as F
 
 from ..operators import intervals, relational
 from ..sources.tables import table
+from .registry import Registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str):
-    def register(f):
-        QUERIES[f.__name__] = f
-        SQL[f.__name__] = sql
-        return f
-
-    return register
+R = Registry()
+QUERIES, SQL, query = R.queries, R.sql, R.query
 
 
 @query("SELECT doc_id, lang, n_chars FROM documents WHERE source = 'src0' AND lang IN ('en', 'de')")

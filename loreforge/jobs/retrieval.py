@@ -9,18 +9,10 @@ from ..functions import text
 from ..operators import flow, graph, packing, search
 from ..sources import members
 from ..sources.tables import table
+from .registry import Registry
 
-QUERIES, SQL = {}, {}
-
-
-def query(sql: str | None):
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
+R = Registry()
+QUERIES, SQL, query = R.queries, R.sql, R.query
 
 
 _TOKENS_SQL = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda x: x <> '')"

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.lineage import cut
+from ..functions.lineage import cut, fixpoint
+
+
+#: More rows than any bound of a traversal.
+BEYOND = (1 << 31) - 2
 
 
 def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
@@ -29,14 +35,53 @@ def bounded_bfs(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return marked.select("seed", "node", "level", F.when(F.col("unresolved"), "unresolved").when(F.col("limited"), "traversal_limit").otherwise("").alias("boundary"))
 
 
+def traverse(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "outgoing", relationships: tuple[str, ...] = (), max_nodes: int = 1000, max_edges: int = 2500) -> tuple[DataFrame, bool]:
+    """The edges (id, src, dst, relationship; a null dst is unresolved) that seeds (node) meet in `depth` + 1 rounds, with their
+    level and boundary, and whether a bound cut anything off.
+
+    Edges are taken by id in each round, `max_edges` in all. An unresolved edge is a boundary. An edge to a new node is a
+    `traversal_limit` boundary in the last round, and where the node would be one too many; nodes are taken in by their
+    least edge. No relationships mean all. What a round holds is within the bounds, so its ranks are over few rows.
+    """
+    ways = []
+    if direction in ("outgoing", "both"):
+        ways.append(edges.select("id", F.col("src").alias("node"), F.col("dst").alias("to"), "relationship", F.col("dst").isNotNull().alias("resolved")))
+    if direction in ("incoming", "both"):
+        ways.append(edges.where("dst is not null").select("id", F.col("dst").alias("node"), F.col("src").alias("to"), "relationship", F.lit(True).alias("resolved")))
+    links = reduce(DataFrame.unionByName, ways)
+    if relationships:
+        links = links.where(F.col("relationship").isin(*relationships))
+    nodes = frontier = cut(seeds.select("node").distinct())
+    met, n_nodes, n_edges, truncated = None, nodes.count(), 0, False
+    for level in range(depth + 1):
+        found = links.join(frontier, "node", "left_semi").groupBy("id").agg(F.max("resolved").alias("resolved"), F.array_distinct(F.collect_list("to")).alias("to"))
+        if met is not None:
+            found = found.join(met.select("id"), "id", "left_anti")
+        taken = cut(found.orderBy("id").limit(min(max_edges - n_edges, BEYOND) + 1))
+        held = taken.count()
+        if held > max_edges - n_edges:
+            truncated, held = True, max_edges - n_edges
+            taken = cut(taken.orderBy("id").limit(held))
+        n_edges += held
+        fresh = taken.where("resolved").select("id", F.explode("to").alias("node")).join(nodes, "node", "left_anti")
+        first = fresh.groupBy("node").agg(F.min("id").alias("first"))
+        room = max_nodes - n_nodes if level < depth else 0
+        inside = cut(first.orderBy("first", "node").limit(min(max(0, room), BEYOND)).select("node"))
+        outside = fresh.join(inside, "node", "left_anti").select("id").distinct().withColumn("limited", F.lit(True))
+        rows = taken.join(outside, "id", "left").select("id", F.lit(level).alias("level"), F.when(~F.col("resolved"), "unresolved").when(F.col("limited"), "traversal_limit").otherwise("").alias("boundary"))
+        rows = cut(rows)
+        truncated = truncated or not rows.where("boundary = 'traversal_limit'").isEmpty()
+        met = rows if met is None else met.unionByName(rows)
+        n_nodes += inside.count()
+        nodes, frontier = nodes.union(inside), inside
+        if n_edges >= max_edges or frontier.isEmpty():
+            break
+    return met, truncated
+
+
 def closure(links: DataFrame, seeds: DataFrame) -> DataFrame:
     """All nodes that seeds (node) cite over any number of links (src, dst); cycles end by the anti-join."""
-    seen = frontier = cut(seeds.select("node").distinct())
-    while not frontier.isEmpty():
-        step = frontier.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
-        frontier = cut(step.join(seen, "node", "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    return fixpoint(seeds.select("node").distinct(), lambda at: at.join(links, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct(), ["node"])
 
 
 def simple_paths(edges: DataFrame, depth: int) -> DataFrame:
@@ -65,13 +110,13 @@ def reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """
     evidence = F.col("evidence") if "evidence" in edges.columns else F.array().cast("array<string>")
     links = edges.where("dst is not null").select("src", "dst", evidence.alias("evidence"))
-    frontier = seen = cut(seeds.select("seed", "node").distinct().withColumn("level", F.lit(0)).withColumn("support", F.array().cast(links.schema["evidence"].dataType)))
-    while not frontier.isEmpty():
-        step = frontier.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), F.col("level") + 1, F.array_sort(F.array_union("support", "evidence")).alias("support"))
-        step = step.toDF("seed", "node", "level", "support").groupBy("seed", "node", "level").agg(F.min("support").alias("support"))
-        frontier = cut(step.join(seen.select("seed", "node"), ["seed", "node"], "left_anti"))
-        seen = cut(seen.unionByName(frontier))
-    return seen
+    start = seeds.select("seed", "node").distinct().withColumn("level", F.lit(0)).withColumn("support", F.array().cast(links.schema["evidence"].dataType))
+
+    def step(at: DataFrame) -> DataFrame:
+        out = at.join(links, F.col("node") == F.col("src")).select("seed", F.col("dst").alias("node"), (F.col("level") + 1).alias("level"), F.array_sort(F.array_union("support", "evidence")).alias("support"))
+        return out.groupBy("seed", "node", "level").agg(F.min("support").alias("support"))
+
+    return fixpoint(start, step, ["seed", "node"])
 
 
 def _labels(links: DataFrame) -> DataFrame:
