@@ -1,8 +1,9 @@
-"""Cutting lineage in loops: checkpoints in the folder that driver and executors share."""
+"""Cutting lineage in loops: tables in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -26,9 +27,11 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The rows, computed once and kept as a reliable checkpoint."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """The rows as a table written in the shared folder: computed once (a checkpoint would compute them twice), with no lineage
+    behind it, and whole whatever executor is lost."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fixpoint(start: DataFrame, step: Callable[[DataFrame], DataFrame], keys: list[str], most: int | None = None) -> DataFrame:

@@ -142,8 +142,9 @@ def support_states(nodes: DataFrame, links: DataFrame, policies: dict[str, Colum
 def into_cycles(links: DataFrame) -> DataFrame:
     """(node) from which a way leads into a cycle: what is left once nodes without links onward are taken away in rounds."""
     left = cut(links.select("src", "dst").distinct())
+    n = left.count()
     while True:
-        rest = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if rest.count() == left.count():
-            return rest.select(F.col("src").alias("node")).distinct()
-        left = rest
+        left = cut(left.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        before, n = n, left.count()
+        if n == before:
+            return left.select(F.col("src").alias("node")).distinct()

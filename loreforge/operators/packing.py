@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,18 +18,22 @@ def budget_prefix(df: DataFrame, request: str, order: str, size: str, budget: in
 def greedy(df: DataFrame, request: str, order: str, size: str, budget: int) -> DataFrame:
     """For each request: rows in order, each taken if it still fits; smaller ones after a skipped row may fit.
 
-    What is larger than the budget goes before the grouping, and sizes only are grouped, never texts. A group's rows are
-    needed together, for each decision rests on the ones before it.
+    What is larger than the budget goes before the shuffle. A task reads its requests row by row in their order and holds
+    a running total only, so the rows of a hot request are never in memory together. Sizes only are moved, never texts.
     """
-
-    def take(group: pd.DataFrame) -> pd.DataFrame:
-        used, kept = 0, []
-        for row in group.sort_values(order).itertuples(index=False):
-            if used + getattr(row, size) <= budget:
-                used += getattr(row, size)
-                kept.append((getattr(row, request), getattr(row, order), getattr(row, size), used))
-        return pd.DataFrame(kept, columns=[request, order, size, "used"])
-
     kinds = dict(df.dtypes)
     rows = df.select(request, order, size).where(F.col(size) <= budget)
-    return rows.groupBy(request).applyInPandas(take, f"{request} {kinds[request]}, {order} {kinds[order]}, {size} {kinds[size]}, used long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, used = None, 0
+        for batch in batches:
+            keep, totals = [], []
+            for key, n in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (key,) != at:
+                    at, used = (key,), 0
+                keep.append(fits := n is not None and used + n <= budget)
+                used += n if fits else 0
+                totals.append(used)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(totals, pa.int64())], names=[request, order, size, "used"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.repartition(request).sortWithinPartitions(request, order).mapInArrow(run, f"{request} {kinds[request]}, {order} {kinds[order]}, {size} {kinds[size]}, used long")
