@@ -19,6 +19,8 @@ WIDTH, THRESHOLD = 5, 0.8
 MINIMA = 64
 #: Items whose signatures are broadcast at a time; more are searched for in further blocks.
 BLOCK_ITEMS = 20_000
+#: Their bytes, about.
+BLOCK_BYTES = 64 << 20
 _GAP = re.compile(r"\W+")
 _ASCII_GAPS = bytes(32 if i < 128 and not (chr(i).isalnum() or i == 95) else i for i in range(256))
 _SEEDS = np.random.default_rng(8).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,12 +156,13 @@ class Index:
 
 
 def item_blocks(benchmark: DataFrame, size: int = BLOCK_ITEMS) -> Iterator[list[tuple[int, str]]]:
-    """The items in blocks of a bounded number of rows; the documents are read once for each block."""
-    items = benchmark.select("item_id", "text").where("text is not null")
-    if (n := items.count()) <= size:
+    """The distinct items in blocks of a bounded number of rows and bytes; the documents are read once for each block."""
+    items = benchmark.select("item_id", "text").where("text is not null").distinct()
+    totals = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    if totals["n"] <= size and totals["bytes"] <= BLOCK_BYTES:
         blocks = [items]
     else:
-        parts = -(-2 * n // size)
+        parts = max(-(-2 * totals["n"] // size), -(-2 * totals["bytes"] // BLOCK_BYTES))
         number = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts))
         blocks = [items.where(number == k) for k in range(parts)]
     for block in blocks:
@@ -173,6 +176,7 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
     """doc_id, item_id, shared, n_shingles, containment of each document that holds this share of an item's shingles.
 
     Shingles are distinct runs of five words; an item of fewer words is one shingle; null and empty texts match nothing.
+    Documents that repeat match each; items that repeat (id and text) are one. Empty tables give no rows.
     Documents are not shuffled, and windows and candidates never leave a task.
     """
     out = None
@@ -191,7 +195,8 @@ def search(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD)
 
 
 def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents, all columns as they are, that hold no item."""
+    """The documents, all columns as they are, that hold no item. Null and empty texts stay; rows that repeat stay or go each;
+    without items all stay."""
     at = docs.columns.index("text")
     for items in item_blocks(benchmark):
         shared_index = docs.sparkSession.sparkContext.broadcast(Index(items))
@@ -206,6 +211,7 @@ def without_matches(docs: DataFrame, benchmark: DataFrame, threshold: float = TH
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds an item, with how much of it. Nulls, short items, repeated rows and empty tables as in search."""
     return search(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
 
 

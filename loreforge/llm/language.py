@@ -14,6 +14,8 @@ from . import common
 #: Documents of each language that the model is fitted on at most, about: those whose ids hash lowest.
 TRAIN_DOCS = 700
 SLOTS = 4096
+#: Languages that are learned at most; a column of more values is no column of languages.
+MAX_LANGS = 200
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code. A language that isn't listed is a family of its own.
 FAMILIES = {
@@ -125,9 +127,11 @@ _ROWS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("x",
 def train(docs: DataFrame) -> Hierarchy | None:
     """From text and lang outside the held-out fold; None if no such document has a letter."""
     own = docs.select("doc_id", "text", "lang").where("lang is not null and text is not null").where(~common.in_fold(F.col("doc_id"), 3, 1))
-    sizes = {r[0]: r[1] for r in own.groupBy("lang").count().collect()}
+    sizes = {r[0]: r[1] for r in own.groupBy("lang").count().limit(MAX_LANGS + 1).collect()}
     if not sizes:
         return None
+    if len(sizes) > MAX_LANGS:
+        raise ValueError(f"lang has more than {MAX_LANGS} values")
     span = 1 << 30
     limit = F.element_at(F.create_map(*[F.lit(v) for lang, n in sizes.items() for v in (lang, max(1, min(span, span * TRAIN_DOCS // n)))]), F.col("lang"))
     some = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(span)) < limit)
@@ -148,7 +152,12 @@ PREDICTED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred and score of every row; `und` with score 0 where no letter is there or nothing was learned."""
+    """doc_id, held_out, lang_pred and score of every row; `und` with score 0 where no letter is there or nothing was learned.
+
+    Null texts have no letter; long ones are read whole. Rows that repeat are predicted each, equal texts alike. Ties of votes
+    go to the larger margin, then to the language first in order. A null id is not held out, and a null lang teaches nothing.
+    An empty table gives no rows. Other columns are not read.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs))  # a weight for each slot and pair of classes
 
     def run(batches):
@@ -163,4 +172,5 @@ def identify(docs: DataFrame) -> DataFrame:
 
 
 def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language. Nulls, empty and long texts, repeated rows and empty tables as in identify."""
     return identify(common.table(spark, sf_dir, "documents"))

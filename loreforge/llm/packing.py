@@ -99,4 +99,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, group_ids: i
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents. A null or empty text is its end id; long texts are cut at the capacity; rows that repeat are
+    packed each; an empty table gives no rows. Other columns are not read."""
     return pack(common.table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

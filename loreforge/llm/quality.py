@@ -129,10 +129,18 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
 def _inputs(docs: DataFrame) -> DataFrame:
     """doc_id, text and its length as metadata, counted where the table has none."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.coalesce(F.col("n_chars").cast("long"), F.length(text).cast("long")) if "n_chars" in docs.columns else F.length(text).cast("long")
+    size = F.coalesce(F.col("n_chars").try_cast("long"), F.length(text).cast("long")) if "n_chars" in docs.columns else F.length(text).cast("long")
     return docs.select("doc_id", text.alias("text"), F.greatest(size, F.lit(0)).alias("n_chars"))
 
 
+def _size(value, text: str) -> int:
+    """The stated length, or the text's where none or no number is stated."""
+    try:
+        return max(0, int(value))
+    except (TypeError, ValueError):
+        return len(text)
+
+
 def scores(model: FactorisationMachine, texts: list[str], sizes: list[int]) -> np.ndarray:
     rows = [features(t, n) for t, n in zip(texts, sizes, strict=True)]
     starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in rows])[:-1]]).astype(np.int64)
@@ -143,7 +151,12 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hel
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; null and empty texts are scored by their statistics."""
+    """doc_id, held_out, score and predicted of every row.
+
+    Null and empty texts are scored by their statistics; very long ones whole. Rows that repeat are scored each, and equal
+    texts of equal n_chars alike. A null id is not held out. An empty table gives no rows; without labels every row has one
+    score. n_chars is counted where it lacks or is no number; other columns are not read.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # SLOTS * (RANK + 1) numbers
 
     def run(batches):
@@ -162,11 +175,12 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     def run(batches):
         for batch in common.slices(batches):
             texts = [t or "" for t in batch.column(at).to_pylist()]
-            sizes = [len(t) if n is None else max(0, int(n)) for t, n in zip(texts, batch.column(size).to_pylist() if size is not None else [None] * len(texts), strict=True)]
+            sizes = [_size(n, t) for t, n in zip(texts, batch.column(size).to_pylist() if size is not None else [None] * len(texts), strict=True)]
             yield batch.filter(pa.array(scores(model.value, texts, sizes) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality. Nulls, empty and long texts, repeated rows and empty tables as in classify."""
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

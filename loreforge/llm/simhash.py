@@ -281,4 +281,6 @@ def one_of_each(docs: DataFrame, alike: bool = False) -> DataFrame:
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component. A null or empty text has fingerprint zero and links to others of zero; long
+    texts are read whole; rows that repeat have a row each; an empty table gives none. Other columns are not read."""
     return near_duplicates(common.table(spark, sf_dir, "documents"))

@@ -88,21 +88,23 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
     return out[:n]
 
 
-def block_bytes(ids: np.ndarray, lengths: np.ndarray) -> bytes:
-    """One block of the file format: head, ids of each document, index, words, escaped values."""
+def block_bytes(ids: np.ndarray, lengths: np.ndarray, doc_ids: list[int | None] | None = None) -> bytes:
+    """One block of the file format: head, ids of each document, its number and whether it has one, index, words, escaped values."""
     words, escapes = pack(ids)
     counts = _COUNTS[(words >> np.uint64(60)).astype(np.int64)]
     index = (np.cumsum(counts) - counts)[::INDEX_WORDS]
-    return b"".join([_HEAD.pack(b"S8B1", len(ids), len(lengths), len(words), len(escapes)), lengths.astype("<i8").tobytes(), index.astype("<i8").tobytes(), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()])
+    doc_ids = [None] * len(lengths) if doc_ids is None else doc_ids
+    numbers, known = np.array([x or 0 for x in doc_ids], "<i8"), np.array([x is not None for x in doc_ids], "<i8")
+    return b"".join([_HEAD.pack(b"S8B2", len(ids), len(lengths), len(words), len(escapes)), *(x.astype("<i8").tobytes() for x in (lengths, numbers, known, index)), words.astype("<u8").tobytes(), escapes.astype("<u8").tobytes()])
 
 
-def open_block(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Ids in all, ids of each document, index, words, escaped values."""
+def open_block(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids in all, ids of each document, its number and whether it has one, index, words, escaped values."""
     magic, n, n_docs, n_words, n_escapes = _HEAD.unpack_from(payload)
-    if magic != b"S8B1":
+    if magic != b"S8B2":
         raise ValueError("not a Simple-8b block")
     parts, at = [], _HEAD.size
-    for count, kind in ((n_docs, "<i8"), (-(-n_words // INDEX_WORDS), "<i8"), (n_words, "<u8"), (n_escapes, "<u8")):
+    for count, kind in ((n_docs, "<i8"), (n_docs, "<i8"), (n_docs, "<i8"), (-(-n_words // INDEX_WORDS), "<i8"), (n_words, "<u8"), (n_escapes, "<u8")):
         parts.append(np.frombuffer(payload, kind, count, at))
         at += 8 * count
     return n, *parts
@@ -110,13 +112,13 @@ def open_block(payload: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray,
 
 def block_ids(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Ids, and how many each document has."""
-    n, lengths, _, words, escapes = open_block(payload)
+    n, lengths, _, _, _, words, escapes = open_block(payload)
     return unpack(words, escapes, n), lengths
 
 
 def slice_ids(payload: bytes, start: int, stop: int) -> np.ndarray:
     """Some ids of a block; only the runs of words that hold them are decoded, found by the index."""
-    n, _, index, words, escapes = open_block(payload)
+    n, _, _, _, index, words, escapes = open_block(payload)
     stop = min(stop, n)
     if start >= stop:
         return np.zeros(0, np.uint64)
@@ -126,7 +128,7 @@ def slice_ids(payload: bytes, start: int, stop: int) -> np.ndarray:
     return got[start - int(index[lo]) : stop - int(index[lo])]
 
 
-BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("within", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("doc_ids", T.BinaryType()), T.StructField("no_id", T.BinaryType()), T.StructField("payload", T.BinaryType())])
+BLOCKS = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("within", T.LongType()), T.StructField("n_ids", T.LongType()), T.StructField("payload", T.BinaryType())])
 ROWS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_crc32", T.LongType())])
 
 
@@ -142,8 +144,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
         def close():
             values = np.frombuffer(b"".join(held), "<u4")
-            row = {"part": [part], "block": [block], "within": [within], "n_ids": [len(values)], "doc_ids": [np.array([x or 0 for x in ids], "<i8").tobytes()], "no_id": [np.array([x is None for x in ids], "u1").tobytes()]}
-            return common.to_batch(BLOCKS, row | {"payload": [block_bytes(values, np.array([len(x) // 4 for x in held], np.int64))]})
+            row = {"part": [part], "block": [block], "within": [within], "n_ids": [len(values)]}
+            return common.to_batch(BLOCKS, row | {"payload": [block_bytes(values, np.array([len(x) // 4 for x in held], np.int64), ids)]})
 
         for batch in common.slices(batches, 1024):
             for doc_id, code in zip(batch.column(0).to_pylist(), tokens.encode(batch.column(1).to_pylist()), strict=True):
@@ -160,7 +162,8 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2) ->
 
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """Reads token files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32.
+    """Reads token files back: doc_id, start (ids of all documents before), n_tokens, ids_crc32. Null ids come back as null,
+    repeated rows each with their own start, files of an empty table as no rows.
 
     Only a total for each part meets in one place; the totals are broadcast, one row for each task that wrote.
     """
@@ -170,19 +173,22 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
 
     def decode(batches):
         for batch in common.slices(batches, 1):
-            base, doc_ids, no_id, payload = (batch.column(i)[0].as_py() for i in range(4))
+            base, payload = (batch.column(i)[0].as_py() for i in range(2))
+            _, _, numbers, known, *_ = open_block(payload)
             values, lengths = block_ids(payload)
             raw, ends = values.astype("<u4").tobytes(), np.cumsum(lengths)
             starts = ends - lengths
             crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            ids = pa.array(np.frombuffer(doc_ids, "<i8"), pa.int64(), mask=np.frombuffer(no_id, "u1").astype(bool))
+            ids = pa.array(numbers, pa.int64(), mask=known == 0)
             yield common.to_batch(ROWS, {"doc_id": ids, "start": starts + base, "n_tokens": lengths, "ids_crc32": crcs})
 
     placed = blocks.join(F.broadcast(before), "part")
-    return placed.select((F.col("before") + F.col("within")).alias("base"), "doc_ids", "no_id", "payload").mapInArrow(decode, ROWS)
+    return placed.select((F.col("before") + F.col("within")).alias("base"), "payload").mapInArrow(decode, ROWS)
 
 
 def op7_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes the token files of all documents and reads them back. A null or empty text has the end id only; long texts are
+    whole in one block; rows of one id stand in the order of their texts, null ids first; an empty table gives no rows."""
     path = common.shared_path(spark, "simple8b")
     write_blocks(common.table(spark, sf_dir, "documents"), path, tokenizer_path("byte_bpe_50k.json"))
     return read_blocks(spark, path)

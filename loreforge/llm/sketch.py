@@ -19,8 +19,8 @@ TABLES, BASE_CELLS = 3, 4
 LARGER = 4
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 _CHECK, _NTH = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F)
-#: A line is cut after a word whose last bytes hash to a multiple of this, so paragraphs have four words or so.
-CUT = 4
+#: A line is cut after a word whose last bytes hash to zero in so many bits, so paragraphs have four words or so.
+CUT_BITS = 2
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -41,7 +41,7 @@ def paragraphs(data: bytes) -> np.ndarray:
     h = np.zeros(len(gaps), np.uint32)
     for back in range(1, 7):
         h = h * np.uint32(0x01000193) + padded[gaps + 6 - back]
-    cuts = gaps[(h * np.uint32(0x85EBCA6B)) >> np.uint32(30) == 0] if CUT == 4 else gaps
+    cuts = gaps[(h * np.uint32(0x85EBCA6B)) >> np.uint32(32 - CUT_BITS) == 0]
     ends = np.union1d(cuts, np.flatnonzero(b == 10)) + 1
     at = [0, *ends.tolist()]
     if at[-1] != len(data):
@@ -231,4 +231,9 @@ def compare_versions(docs: DataFrame) -> DataFrame:
 
 
 def op2_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, its edited version's and their likeness.
+
+    A null text is empty; long texts are read whole; rows of one id are ordered by their texts and each have a next one; null
+    ids come last; a table of one row is its own next one, and an empty table gives no rows. Other columns are not read.
+    """
     return compare_versions(common.table(spark, sf_dir, "documents"))

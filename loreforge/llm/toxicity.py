@@ -259,7 +259,12 @@ SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("hel
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; null and empty texts get the score of a text without features."""
+    """doc_id, held_out, score and predicted of every row.
+
+    Null and empty texts get the score of a text without features; very long texts, tokens and rules of signs are read whole,
+    in time in proportion to their length. Rows that repeat are scored each, equal texts alike. A null id is not held out.
+    An empty table gives no rows; without labels of both kinds every row has one score. Other columns are not read.
+    """
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels))  # 2^FEATURE_BITS weights at most, and SIZE^3 costs
 
     def run(batches):
@@ -283,4 +288,5 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity. Nulls, empty and long texts, repeated rows and empty tables as in classify."""
     return classify(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))

@@ -58,6 +58,9 @@ def test_token_files_of_empty_and_null_id_tables(spark):
     path = common.shared_path(spark, "test-s8b")
     simple8b.write_blocks(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_path("byte_bpe_50k.json"))
     assert simple8b.read_blocks(spark, path).count() == 0
+    block = simple8b.block_bytes(np.arange(5, dtype=np.uint64), np.array([2, 3]), [None, -7])
+    _, lengths, numbers, known, *_ = simple8b.open_block(block)
+    assert (lengths.tolist(), numbers.tolist(), known.tolist()) == ([2, 3], [0, -7], [0, 1])
     path = common.shared_path(spark, "test-s8b")
     simple8b.write_blocks(spark.createDataFrame([(None, "a"), (1, "b"), (1, "b")], "doc_id long, text string"), path, tokenizer_path("byte_bpe_50k.json"))
     assert sorted((r[0] is not None, r[0] or 0, r[1], r[2]) for r in simple8b.read_blocks(spark, path).collect()) == [(False, 0, 0, 2), (True, 1, 2, 2), (True, 1, 4, 2)]
@@ -85,6 +88,36 @@ def test_balance_fills_every_sequence(lengths):
         assert at == packing.CAPACITY or at < packing.CAPACITY and at & (at - 1) == 0
 
 
+def _assigned(lengths, capacity):
+    """The rule in plain words: longest piece first, to the cheapest sequence that it fits, else cut to the cheapest with room."""
+    sizes = packing.sequence_sizes(sum(lengths), capacity)
+    spent, used, line, out = [0.0] * len(sizes), [0] * len(sizes), [], []
+    for doc, n in enumerate(lengths):
+        line += [(min(capacity, n - at), doc, at) for at in range(0, n, capacity)]
+    while line:
+        line.sort(key=lambda p: (-p[0], p[1], p[2]))
+        size, doc, at = line.pop(0)
+        free = [k for k in range(len(sizes)) if sizes[k] - used[k] >= size] or [k for k in range(len(sizes)) if sizes[k] > used[k]]
+        to = min(free, key=lambda k: (spent[k], k))
+        put = min(size, sizes[to] - used[to])
+        out.append((doc, at, put, to, used[to]))
+        used[to] += put
+        spent[to] += put + put * put / 1024
+        if put < size:
+            line.append((size - put, doc, at + put))
+    return sorted(out)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 150), min_size=1, max_size=40), st.sampled_from([16, 64]))
+def test_balance_follows_the_costs(lengths, capacity):
+    assert sorted(packing.balance(lengths, capacity)) == _assigned(lengths, capacity)
+
+
+def test_costs_are_linear_and_quadratic():
+    assert packing.cost(0) == 0 and packing.cost(1024) == 2048 and packing.cost(4096) == 4096 + 16384
+
+
 def test_pack(spark):
     texts = [*ODD, None, "word " * 9_000, "same", "same"]
     docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "doc_id long, text string, sequence_id int").repartition(3)

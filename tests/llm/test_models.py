@@ -122,6 +122,56 @@ def test_doubled_letters_and_short_spelt_words_are_decoded(tables):
         assert word in toxicity.restore(text, model.chars), text
 
 
+def test_pairs_of_the_factorisation_machine_one_by_one():
+    rng = np.random.default_rng(1)
+    model = quality.FactorisationMachine(50, 4)
+    model.factors = rng.normal(0, 1, (50, 4)).astype(np.float32)
+    model.linear, model.bias = rng.normal(0, 1, 50).astype(np.float32), 0.3
+    rows = [(rng.choice(50, n, replace=False), rng.normal(0, 1, n).astype(np.float32)) for n in (1, 7, 20)]
+    starts = np.concatenate([[0], np.cumsum([len(s) for s, _ in rows])[:-1]])
+    got = model.raw(np.concatenate([s for s, _ in rows]), np.concatenate([v for _, v in rows]), starts)
+    for (slots, values), score in zip(rows, got, strict=True):
+        want = model.bias + sum(model.linear[i] * x for i, x in zip(slots, values))
+        want += sum(model.factors[slots[i]] @ model.factors[slots[j]] * values[i] * values[j] for i in range(len(slots)) for j in range(i))
+        assert math.isclose(score, want, rel_tol=1e-4, abs_tol=1e-4)
+
+
+def test_sizes_that_are_no_numbers(spark, tables):
+    docs = tables[0].selectExpr("doc_id", "text", "case when doc_id % 2 = 0 then 'many' end as n_chars").limit(20)
+    assert quality.classify(docs, tables[1]).count() == quality.classify(docs, tables[1].limit(0)).count() == 20
+    assert quality.keep_good(docs, tables[1]).columns == docs.columns and quality.keep_good(docs, tables[1]).count() <= 20
+
+
+def test_hierarchy_against_a_plain_vote():
+    rng = np.random.default_rng(5)
+    centres = {"es": 0, "fr": 1, "it": 2, "de": 8, "nl": 9, "xx": 20}
+    langs = np.array([k for k in centres for _ in range(40)], object)
+    x = np.zeros((len(langs), 32), np.float32)
+    x[np.arange(len(langs)), [centres[k] for k in langs]] = 1
+    x += np.abs(rng.normal(0, 0.35, x.shape)).astype(np.float32)
+    model = language.Hierarchy(x, langs)
+
+    def vote(machines, row):
+        wins, least = dict.fromkeys(machines.classes, 0), dict.fromkeys(machines.classes, math.inf)
+        for k, (i, j) in enumerate(machines.pairs):
+            margin = float(row @ machines.weights[k] + machines.bias[k])
+            a, b = machines.classes[i], machines.classes[j]
+            wins[a if margin > 0 else b] += 1
+            least[a], least[b] = min(least[a], margin), min(least[b], -margin)
+        return max(machines.classes, key=lambda c: wins[c] + 0.5 * math.tanh(least[c]))
+
+    got, _ = model.predict(x)
+    for row, lang in zip(x, got, strict=True):
+        assert lang == vote(model.within[vote(model.families, row)], row)
+    assert (got == langs).mean() > 0.9 and len(model.within["romance"].pairs) == 3 and model.within["xx"].pairs == []
+
+
+def test_a_column_of_too_many_languages_is_refused(spark):
+    docs = spark.range(3000).selectExpr("id as doc_id", "'some words' as text", "concat('l', id) as lang")
+    with pytest.raises(ValueError, match="more than 200"):
+        language.identify(docs)
+
+
 def test_language(spark, tables):
     docs, _ = tables
     rows = {r.doc_id: r for r in language.identify(docs).collect()}
