@@ -75,8 +75,9 @@ class WordTokens:
 
     def _add(self, to: dict, words: set[str], spaced: bool) -> None:
         """Encodes what is new: words of letters many at a time, others each by itself."""
-        new = [w for w in words if w not in to]
-        letters, rest = [w for w in new if w.isalpha()], [w for w in new if not w.isalpha()]
+        new = words.difference(to)
+        letters = list(filter(str.isalpha, new))
+        rest = list(new.difference(letters))
         for at in range(0, len(letters), 4096):
             some = letters[at : at + 4096]
             to.update(zip(some, self._letters(some, spaced), strict=True))
@@ -84,9 +85,9 @@ class WordTokens:
 
     def _whole(self, part: str) -> bool:
         """Whether a part is signs, or letters that are as many letters still once a vocabulary without case has lowered them."""
-        if not part.isalpha():
-            return not part[0].isalnum()
-        low = part if self.glued else unicodedata.normalize("NFC", part).lower()
+        if self.glued or not part.isalpha():
+            return part.isalpha() or not part[0].isalnum()
+        low = unicodedata.normalize("NFC", part).lower()
         return len(low) == len(part) and low.isalpha()
 
     def _learn(self, words: set[str]) -> None:
@@ -99,12 +100,9 @@ class WordTokens:
         if len(known) + len(starting) > CACHE_WORDS:
             known.clear()
             starting.clear()
-        alone, parts = set(), {}
-        new = [w for w in words if w not in known]
-        alone.update(w for w in new if w.isalpha())
-        for w in new:
-            if w.isalpha():
-                continue
+        new = words.difference(known)
+        alone, parts = set(filter(str.isalpha, new)), {}
+        for w in new.difference(alone):
             if (found := _PARTS.fullmatch(w)) and (cut := [x for x in found.groups() if x]) and (w.isascii() or all(self._whole(x) for x in cut)):
                 parts[w] = cut
             elif self.glued and (not w or w[0].isspace() or w[-1].isspace()):
