@@ -8,9 +8,12 @@ import unicodedata
 from decimal import Decimal
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .text import relative_path_ok
+
 SAFE = 2**53 - 1
 _CANONICAL = T.StructType([T.StructField(n, T.StringType()) for n in ("canonical", "sha256", "error")])
 
@@ -63,6 +66,13 @@ def composed(column: pd.Series) -> pd.Series:
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
 
+def canonical_path_ok(path: Column) -> Column:
+    """Whether a relative path has one portable spelling: none of its signs are controls or unassigned, no part ends in a dot
+    or a space, and it is in NFKC already."""
+    ends = F.forall(F.split(path, "/"), lambda p: ~p.rlike("[. ]$"))
+    return relative_path_ok(path) & F.coalesce(~path.rlike(r"\p{C}") & ends & (folded(path) == path), F.lit(False))
+
+
 @F.pandas_udf(T.StringType())
 def folded(column: pd.Series) -> pd.Series:
     """Unicode NFKC."""

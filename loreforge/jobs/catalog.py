@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import assembly, exports, inventory, knowledge, publication, retrieval, rules
+from . import assembly, exports, inventory, knowledge, publication, records, retrieval, rules
 
-MODULES = (knowledge, retrieval, exports, assembly, inventory, rules, publication)
+MODULES = (knowledge, retrieval, exports, assembly, inventory, rules, publication, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

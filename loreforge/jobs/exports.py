@@ -64,7 +64,7 @@ def metadata_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", record["k"].alias("k"), record["k"].isNotNull().alias("valid"), F.size(F.json_object_keys("props")).alias("keys"))
 
 
-@query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) WHERE href NOT IN (SELECT url FROM pages) GROUP BY page_id, href""")
+@query("""SELECT page_id, href, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) h WHERE NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = h.href) GROUP BY page_id, href""")
 def dangling_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     links = pages.select("page_id", F.explode(text.links(F.col("html"))).alias("href")).groupBy("page_id", "href").agg(F.count("*").alias("n"))

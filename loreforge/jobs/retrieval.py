@@ -109,7 +109,7 @@ def source_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://[^/]+/?', '') AS path FROM pages)
-SELECT page_id, path, len(path) > 0 AND NOT regexp_matches(path, '[\x00-\x1f\x7f\\:]') AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AS valid, regexp_matches(path, '^(fr|en/.*5|de/1.*)$') AS left_out FROM p""")
+SELECT page_id, path, len(path) > 0 AND octet_length(encode(path)) <= 4096 AND NOT regexp_matches(path, '[\x00-\x1f\x7f\\:]') AND NOT list_has_any(string_split(path, '/'), ['', '.', '..']) AS valid, regexp_matches(path, '^(fr|en/.*5|de/1.*)$') AS left_out FROM p""")
 def path_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://[^/]+/?", "").alias("path"))
     hit = F.col("path").rlike("|".join(text.glob_regex(p) for p in ("fr", "en/*5", "de/1*")))

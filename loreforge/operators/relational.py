@@ -32,6 +32,12 @@ def heads(revisions: DataFrame, ident: str, previous: str) -> DataFrame:
     return revisions.join(named, ident, "left_anti")
 
 
+def current(heads: DataFrame, review_heads: DataFrame, reviews: DataFrame, default: str = "pending_review") -> DataFrame:
+    """Heads (subject columns, head) with the last review (subject, review) of each and its status (review, status)."""
+    joined = heads.join(review_heads.withColumnRenamed("subject", "head"), "head", "left").join(reviews, "review", "left")
+    return joined.select(*heads.columns, "review", F.coalesce("status", F.lit(default)).alias("status"))
+
+
 def any_of(rows: DataFrame, key: str, others: list[tuple[DataFrame, str]]) -> DataFrame:
     """Rows whose key is in any of the tables: a union of semi-joins, where an OR in one join would fan out."""
     parts = [rows.join(other.select(F.col(column).alias(key)), key, "left_semi") for other, column in others]

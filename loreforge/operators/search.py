@@ -19,17 +19,16 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
 def keyword_top(docs: DataFrame, key: str, body: str, words: list[str], k: int) -> DataFrame:
     """The k best documents that hold all words: the sum of tf / (tf + 1.2), then the key.
 
-    The words are counted in one pass over each document; nothing is exploded or shuffled but the k best of each task.
+    A text that lacks a word even as a part goes first; in the others the words are counted where no letter or digit stands
+    beside them, which is what makes them tokens. Nothing is exploded or shuffled but the k best of each task.
     """
-    found = text.tokens(F.col(body))
-
-    def count(word: str):
-        return F.size(F.filter(found, lambda t: t == F.lit(word)))
-
-    counts = [count(w) for w in words]
-    hits = docs.select("*", *[c.alias(f"_tf{i}") for i, c in enumerate(counts)])
-    for i in range(len(words)):
-        hits = hits.where(F.col(f"_tf{i}") > 0)
+    low = F.lower(F.col(body))
+    hits = docs
+    for word in words:
+        hits = hits.where(F.contains(low, F.lit(word)))
+    for i, word in enumerate(words):
+        whole = rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])"
+        hits = hits.withColumn(f"_tf{i}", F.regexp_count(low, F.lit(whole))).where(F.col(f"_tf{i}") > 0)
     score = sum((F.col(f"_tf{i}") / (F.col(f"_tf{i}") + 1.2) for i in range(1, len(words))), F.col("_tf0") / (F.col("_tf0") + 1.2))
     return hits.withColumn("score", F.round(score, 6)).drop(*[f"_tf{i}" for i in range(len(words))]).orderBy(F.desc("score"), key).limit(k)
 
@@ -47,6 +46,15 @@ def hybrid(semantic: DataFrame, keyword: DataFrame, key: str) -> DataFrame:
     return s.join(w, key, "full_outer").orderBy(F.asc_nulls_last("semantic_rank"), F.asc_nulls_last("keyword_rank"), key)
 
 
+def merged(first: DataFrame, second: DataFrame, key: str, payload: str) -> DataFrame:
+    """(key, found_by, conflict) of two results as one: which of them has a record, and whether both have it but differ."""
+    a = first.select(key, F.col(payload).alias("_a"), F.lit(True).alias("_in_a"))
+    b = second.select(key, F.col(payload).alias("_b"), F.lit(True).alias("_in_b"))
+    both = a.join(b, key, "full_outer")
+    found = F.when(F.col("_in_a").isNull(), "second").when(F.col("_in_b").isNull(), "first").otherwise("both")
+    return both.select(key, found.alias("found_by"), ((found == "both") & ~F.col("_a").eqNullSafe(F.col("_b"))).alias("conflict"))
+
+
 def holding(docs: DataFrame, items: DataFrame, block: int = SHORT_BLOCK) -> DataFrame:
     """(doc_id, item_id) of documents (doc_id, text) that contain a passage (item_id, passage).
 

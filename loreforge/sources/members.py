@@ -7,7 +7,7 @@ import re
 import zipfile
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -114,6 +114,14 @@ def lines(members: DataFrame, key: str, body: str) -> DataFrame:
     return members.select(key, F.posexplode(F.split(body, "\r\n|\r|\n")).alias("at", "line")).select(key, (F.col("at") + 1).alias("line_no"), "line")
 
 
+def window(members: DataFrame, key: str, body: str, first: int, last: int, most_bytes: int) -> DataFrame:
+    """Lines (key, line_no, line) from first to last with credentials masked, as far as `most_bytes` of the source go."""
+    rows = members.select(key, F.posexplode(F.slice(F.split(body, "\n"), first, last - first + 1)).alias("at", "_line"))
+    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # last - first + 1 rows at most
+    used = rows.withColumn("_used", F.sum(F.octet_length("_line") + 1).over(w)).where(F.col("_used") <= most_bytes)
+    return used.select(key, (F.col("at") + first).alias("line_no"), text.mask(F.col("_line")).alias("line"))
+
+
 def description_columns(line: Column) -> dict[str, Column]:
     """The fixed columns of a data description line, trimmed."""
     padded = F.rpad(line, 80, " ")

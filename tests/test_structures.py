@@ -204,6 +204,12 @@ def test_column_functions(spark):
     assert spark.createDataFrame([("ﬁ",)], "t string").select(canonical.folded("t")).first()[0] == "fi"
 
 
+def test_paths_of_one_spelling(spark):
+    rows = [("a/b.txt", True), ("a/b.", False), ("a /b", False), ("ﬁ", False), ("a\u200b", False), ("é", True), ("a/../b", False), (None, False)]
+    df = spark.createDataFrame(rows, "p string, ok boolean").select(canonical.canonical_path_ok(F.col("p")).alias("a"), "ok")
+    assert all(r.a == r.ok for r in df.collect())
+
+
 def test_encodings_by_number(spark):
     df = spark.createDataFrame([(bytearray("é".encode("cp037")), "CCSID:37"), (bytearray("é".encode("utf-16-be")), "ccsid:1200"), (bytearray(b"x"), "ccsid:9")], "c binary, e string")
     assert [(r.d.text, r.d.status) for r in df.select(members.decoded("c", "e").alias("d")).collect()] == [("é", "accepted"), ("é", "accepted"), (None, "UNSUPPORTED_ENCODING")]
