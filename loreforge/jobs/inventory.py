@@ -192,3 +192,36 @@ def run_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = table(spark, sf_dir, "customer").groupBy(F.lower("c_mktsegment").alias("name")).agg(F.min("c_custkey").alias("o_custkey"))
     orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").join(first.select("o_custkey"), "o_custkey", "left_semi")
     return orders.join(table(spark, sf_dir, "supplier").select("s_suppkey"), F.col("s_suppkey") == F.col("o_orderkey"), "left").select("o_custkey", "o_orderkey", "s_suppkey")
+
+
+def _envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An envelope of each customer: a claim of the customer, and a reference for each order to a part by its name."""
+    part, items, orders = table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
+    first = items.groupBy("l_orderkey").agg(F.min("l_partkey").alias("p_partkey"))
+    lines = orders.join(first, F.col("o_orderkey") == F.col("l_orderkey")).join(part, "p_partkey")
+    target = F.struct(F.lit("Part").alias("kind"), F.concat(F.lit("p"), F.floor(F.col("p_partkey") / 2).cast("string")).alias("name"), (F.col("o_orderstatus") == "P").alias("dynamic"))
+    reference = F.to_json(F.struct(F.lit("reference").alias("record_type"), F.concat(F.lit("o"), _text("o_orderkey")).alias("from_identity"), F.lit("READS").alias("relationship"), target.alias("target")))
+    claims = part.select(F.lit("parts").alias("evidence"), F.to_json(F.struct(F.lit("entity").alias("record_type"), F.concat("p_brand", F.lit("/p"), F.floor(F.col("p_partkey") / F.when(F.col("p_size") > 25, 2).otherwise(3)).cast("string")).alias("identity"), F.lit("Part").alias("kind"), F.col("p_type").alias("availability"))).alias("record"))
+    rows = lines.select(F.concat(F.lit("c"), _text("o_custkey")).alias("evidence"), reference.alias("record")).union(claims)
+    body = F.to_json(F.struct(F.lit("0.1.0").alias("schema_version"), F.lit("inventory").alias("kind"), F.array_sort(F.collect_list("record")).alias("records")))
+    return rows.groupBy("evidence").agg(body.alias("body"))
+
+
+_OFFLINE_SQL = """e AS (SELECT DISTINCT p_brand || '/p' || (p_partkey // CASE WHEN p_size > 25 THEN 2 ELSE 3 END) AS identity, p_type FROM part),
+n AS (SELECT identity, split_part(identity, '/', 2) AS name, CASE WHEN count(DISTINCT p_type) = 1 THEN min(p_type) ELSE 'unknown' END AS availability FROM e GROUP BY identity)"""
+
+
+@query(f"""WITH {_OFFLINE_SQL}, t AS (SELECT name, count(*) AS n, min(identity) AS one FROM n GROUP BY name),
+r AS (SELECT o_orderkey, o_custkey, o_orderstatus = 'P' AS dynamic, 'p' || (min(l_partkey) // 2) AS name FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1, 2, 3),
+s AS (SELECT r.*, CASE WHEN dynamic THEN 'dynamic' WHEN n IS NULL THEN 'missing' WHEN n = 1 THEN 'resolved' ELSE 'ambiguous' END AS resolution, one FROM r LEFT JOIN t USING (name))
+SELECT 'o' || o_orderkey AS src, 'READS' AS relationship, resolution, CASE WHEN resolution = 'resolved' THEN one END AS dst, 'c' || o_custkey AS evidence FROM s""")
+def offline_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that the envelopes of all customers give."""
+    return inventory.offline(_envelopes(spark, sf_dir))[1]
+
+
+@query(f"WITH {_OFFLINE_SQL} SELECT identity, 'Part' AS kind, availability, 'parts' AS evidence FROM n")
+def offline_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities that the envelope of the parts claims."""
+    found = inventory.offline(_envelopes(spark, sf_dir))[0]
+    return found.select("identity", "kind", "availability", F.array_join("evidence", ",").alias("evidence"))

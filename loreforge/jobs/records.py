@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, text
@@ -114,3 +114,41 @@ def masked_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = docs.select(F.concat(F.lit("chunk_"), F.sha2(F.concat(F.lit("document/"), F.col("doc_id").cast("string")), 256)).alias("chunk_id"), text.mask(F.col("text")).alias("text"))
     found = search.postings(chunks, "chunk_id", "text")
     return found.groupBy("chunk_id").agg(F.sum("tf").alias("tokens"), F.count("*").alias("words"), F.coalesce(F.sum(F.when(F.col("token") == "redacted", F.col("tf"))), F.lit(0)).alias("masked"))
+
+
+@query(f"SELECT doc_id, sha256(text) AS record_sha256, 'display/1' AS policy, sha256({_MASK_SQL}) AS shown FROM documents")
+def read_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records as readers see them: masked, with the digest of the original and the policy's name."""
+    docs = table(spark, sf_dir, "documents")
+    return docs.select("doc_id", F.sha2("text", 256).alias("record_sha256"), F.lit("display/1").alias("policy"), F.sha2(text.mask(F.col("text")), 256).alias("shown"))
+
+
+@query("""SELECT line, sha256(line) AS sha256 FROM (SELECT 'r' || r_regionkey || '["' || replace(r_name, '_', '#95;') || '"] --> n' || n_nationkey || '["' || replace(n_name, '_', '#95;') || '"]' AS line FROM nation JOIN region ON r_regionkey = n_regionkey)""")
+def diagram_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A diagram of regions and nations, one edge a line, with labels that no sign can break."""
+    joined = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    nodes = joined.select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("src"), F.col("r_name").alias("src_label"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("dst"), F.col("n_name").alias("dst_label"))
+    return snapshots.diagram(nodes).select("line", F.sha2("line", 256).alias("sha256"))
+
+
+@query("""WITH r AS (SELECT o_custkey, '{"kind":"order","id":"' || o_orderkey || '","status":"' || o_orderstatus || '"}' AS line, o_orderkey FROM orders)
+SELECT o_custkey, count(*) AS lines, sha256(string_agg(line || chr(10), '' ORDER BY o_orderkey)) AS sha256 FROM r GROUP BY o_custkey""")
+def export_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of JSON lines for each customer: how many, and the digest of the whole file."""
+    line = F.to_json(F.struct(F.lit("order").alias("kind"), F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("status")))
+    rows = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", line.alias("line")))).alias("rows"))
+    body = F.concat(F.array_join("rows.line", "\n"), F.lit("\n"))
+    return rows.select("o_custkey", F.size("rows").cast("long").alias("lines"), F.sha2(body, 256).alias("sha256"))
+
+
+@query("""WITH t AS (SELECT e.vec_id, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 0)), 6) AS score FROM embeddings e ORDER BY score DESC, vec_id LIMIT 20)
+SELECT t.vec_id, row_number() OVER (ORDER BY score DESC, t.vec_id) - 1 AS place, sha256(d.text) AS chunk, CASE WHEN d.doc_id IS NULL THEN 'NOT_FOUND' WHEN l.doc_id IS NULL THEN 'UNCITED' END AS fault FROM t LEFT JOIN documents d ON d.doc_id = vec_id LEFT JOIN labels l ON l.doc_id = vec_id""")
+def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of the 20 nearest vectors in their order; the limit is the feature. A chunk must be there and cited."""
+    vectors = table(spark, sf_dir, "embeddings")
+    near = search.vector_top(vectors, "vec_id", "embedding", vectors.where("vec_id = 0").select("embedding").first()[0], 20)
+    ranked = near.select("vec_id", (F.row_number().over(Window.orderBy(F.desc("score"), "vec_id")) - 1).alias("place"))  # 20 rows
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.sha2("text", 256).alias("chunk"))
+    cited = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("vec_id"), F.lit(True).alias("cited"))
+    found = docs.join(F.broadcast(ranked), "vec_id", "right").join(cited, "vec_id", "left")
+    return found.select("vec_id", "place", "chunk", F.when(F.col("chunk").isNull(), "NOT_FOUND").when(F.col("cited").isNull(), "UNCITED").alias("fault"))

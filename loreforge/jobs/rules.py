@@ -171,3 +171,31 @@ def candidate_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as candidate rules: those that are left out say why, the others have no reason."""
     why = writers.first_fault({"NOT_AN_ACTION": F.col("l_returnflag") != "N", "BARRIER": F.col("l_tax") <= 0.07, "UNCITED": F.col("l_discount") != 0, "INDICATOR": ~((F.col("l_linestatus") == "O") & (F.col("l_quantity") < 5))})
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", why.alias("skipped"))
+
+
+@query(f"""WITH {_FLOW_SQL} SELECT 'fact_' || sha256(kind || '/' || artifact || '/' || node || '/' || name) AS fact_id, kind, artifact, node, name FROM (
+SELECT 'declaration' AS kind, artifact, node, defines AS name FROM n WHERE NOT barrier UNION ALL SELECT 'reference', n.artifact, n.node, v.variable FROM n JOIN v ON v.artifact = n.artifact UNION ALL SELECT 'effect', artifact, node, 'unknown' FROM n WHERE barrier)""")
+def published_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The facts of all statements in one stream: what each declares, refers to and may change."""
+    return structure.statement_facts(_conversation_flow(spark, sf_dir)[0])
+
+
+@query(f"""WITH c AS ({SQL["rule_conditions"]}), k AS (SELECT conv_id AS artifact, turn AS node FROM conversations WHERE role = 'assistant'),
+r AS (SELECT k.artifact, k.node, coalesce(string_agg(c.head || ':' || c.arm, ',' ORDER BY c.head), '') AS conditions FROM k LEFT JOIN c ON c.artifact = k.artifact AND c.node = k.node GROUP BY 1, 2)
+SELECT 'rule_' || sha256(artifact || '/' || node || '/' || conditions) AS rule_id, artifact, node, conditions, row_number() OVER (PARTITION BY artifact ORDER BY node) - 1 AS ordinal FROM r""")
+def extracted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The turns of assistants as rules: under which conditions each comes, in which place, with an id of what it says."""
+    candidates = _conversation_flow(spark, sf_dir)[0].where(F.array_contains("defines", "assistant")).select("artifact", "node")
+    return structure.rules(candidates, rule_conditions(spark, sf_dir))
+
+
+@query("""WITH b AS (SELECT l_orderkey AS rule_id, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_returnflag FROM lineitem)
+SELECT rule_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax > 0.07 THEN 'BARRIER' WHEN p_partkey IS NULL THEN 'WORKFLOW_MISSING' WHEN s_suppkey IS NULL THEN 'EVIDENCE_MISSING' ELSE 'insert' END AS outcome
+FROM b LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) ON p_partkey = l_partkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) ON s_suppkey = l_suppkey""")
+def bundle_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as rules of a bundle: each cites a workflow and evidence that are known, and has no barrier."""
+    key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    rows = table(spark, sf_dir, "lineitem").select(key.alias("key"), F.col("l_orderkey").alias("rule_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("workflow"), F.col("l_suppkey").alias("evidence"), F.lit("").alias("payload"), "l_tax")
+    none = rows.select("key", "payload").limit(0)
+    found = writers.admitted(rows, none, "key", "payload", {"BARRIER": F.col("l_tax") <= 0.07}, [("workflow", table(spark, sf_dir, "part").where("p_size > 5"), "p_partkey"), ("evidence", table(spark, sf_dir, "supplier").where("s_acctbal >= 0"), "s_suppkey")])
+    return found.select("rule_id", "l_linenumber", "l_partkey", "l_suppkey", "outcome")

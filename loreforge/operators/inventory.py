@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import fixpoint
+from .binding import classified
 from .relational import merged_claim
 
 #: Relationships that membership does not go through, and kinds that it stops at.
@@ -98,3 +99,24 @@ def category(kind: Column, rules: dict[str, tuple[str, ...]], default: str) -> C
         hit = kind.isin(*kinds)
         out = F.when(hit, name) if out is None else out.when(hit, name)
     return out.otherwise(default)
+
+
+RECORD = "record_type string, identity string, kind string, availability string, from_identity string, relationship string, target struct<kind: string, name: string, dynamic: boolean>"
+
+
+def offline(raw: DataFrame, body: str = "body") -> tuple[DataFrame, DataFrame]:
+    """Entities and edges of metadata envelopes (evidence, body).
+
+    Entities (identity, kind, availability, evidence, fault) are merged over all records that claim them. Edges (src,
+    relationship, resolution, dst, evidence) are references by kind and name: one target resolves them, several are ambiguous
+    and none is missing, a dynamic one stays dynamic. Envelopes and records with faults give neither.
+    """
+    rows = envelopes(raw, body).where("fault is null").select("evidence", F.explode("records").alias("text"))
+    records = rows.select("evidence", F.from_json("text", RECORD).alias("r")).select("evidence", "r.*")
+    claims = records.where("record_type = 'entity' and identity is not null and kind is not null")
+    found = entities(claims.select("identity", "kind", F.coalesce("availability", F.lit("unknown")).alias("availability"), "evidence"))
+    targets = found.where("fault is null").select("kind", F.element_at(F.split("identity", "/"), -1).alias("name"), "identity")
+    references = records.where("record_type = 'reference' and from_identity is not null and target is not null")
+    asked = references.select(F.col("from_identity").alias("src"), "relationship", "evidence", F.col("target.kind").alias("kind"), F.col("target.name").alias("name"), F.coalesce("target.dynamic", F.lit(False)).alias("dynamic")).distinct()
+    edges = classified(asked, targets, ["kind", "name"], "identity", ["src", "relationship", "evidence"])
+    return found, edges.select("src", "relationship", "resolution", F.col("target").alias("dst"), "evidence")

@@ -50,3 +50,11 @@ def faults(manifest: DataFrame, pages: DataFrame) -> DataFrame:
     both = manifest.select("path", "sha256").join(held, "path", "full_outer")
     fault = F.when(F.col("found").isNull(), "missing").when(F.col("sha256").isNull(), "unlisted").when(F.col("sha256") != F.col("found"), "changed")
     return both.select("path", fault.alias("fault")).where("fault is not null")
+
+
+def diagram(edges: DataFrame) -> DataFrame:
+    """(line) of a flow diagram from edges (src, src_label, dst, dst_label); signs in labels are entities."""
+    def node(name: str) -> Column:
+        return F.concat(F.col(name), F.lit('["'), text.diagram_label(F.col(f"{name}_label")), F.lit('"]'))
+
+    return edges.select(F.concat(node("src"), F.lit(" --> "), node("dst")).alias("line"))
