@@ -10,9 +10,26 @@ from pyspark.sql import functions as F
 
 
 def budget_prefix(df: DataFrame, request: str, order: str, size: str, budget: int) -> DataFrame:
-    """For each request the rows in order whose running size stays within the budget."""
+    """For each request the rows in order whose running size stays within the budget (sizes are not negative).
+
+    Each task first drops what its own rows before it put beyond the budget already, but for the first such row, which keeps
+    all later ones out; so of a hot request the window gets a prefix from each task, never all rows.
+    """
+    place, at = df.columns.index(request), df.columns.index(size)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, used = None, 0
+        for batch in batches:
+            keep = []
+            for key, n in zip(batch.column(place).to_pylist(), batch.column(at).to_pylist(), strict=True):
+                if (key,) != last:
+                    last, used = (key,), 0
+                keep.append(used <= budget)
+                used += n or 0
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
     running = F.sum(size).over(Window.partitionBy(request).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    return df.withColumn("used", running).where(F.col("used") <= budget)
+    return df.sortWithinPartitions(request, order).mapInArrow(prune, df.schema).withColumn("used", running).where(F.col("used") <= budget)
 
 
 def greedy(df: DataFrame, request: str, order: str, size: str, budget: int) -> DataFrame:

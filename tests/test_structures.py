@@ -226,3 +226,15 @@ def test_greedy_streams_requests(spark):
                 used += size
                 want.append((request, i, size, used))
     assert _rows(packing.greedy(spark.createDataFrame(rows, "req string, id long, size long"), "req", "id", "size", 100)) == sorted(want, key=repr)
+
+
+def test_prefixes_of_requests_spread_over_tasks(spark):
+    rng = random.Random(3)
+    rows = [(f"r{rng.randint(0, 2)}", i, rng.choice([0, 1, 9, 30])) for i in range(400)]
+    want, used = [], {}
+    for request, i, size in rows:
+        used[request] = used.get(request, 0) + size
+        if used[request] <= 120:
+            want.append((request, i, size, used[request]))
+    frame = spark.createDataFrame(rows, "req string, id long, size long").repartition(7)
+    assert _rows(packing.budget_prefix(frame, "req", "id", "size", 120)) == sorted(want, key=repr)
