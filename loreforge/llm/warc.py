@@ -119,7 +119,7 @@ def _page(value: bytes) -> int | None:
 
 
 def _candidate(data: bytes, at: int) -> tuple | None:
-    """What a record that starts here would be: successor, page_id, payload bytes, digest, type, refers_to.
+    """What a record that starts here would be, by its head: successor, body, page_id, payload bytes, digest, type, refers_to.
 
     Bytes of payloads get here too: whatever they hold, they make a candidate or none, and never an error.
     """
@@ -135,23 +135,35 @@ def _candidate(data: bytes, at: int) -> tuple | None:
         return None
     kind = fields.get(b"warc-type", b"").decode("ascii", "replace")
     digest, n = fields.get(b"warc-payload-digest", b"").removeprefix(b"sha256:").decode("ascii", "replace"), int(size)
-    if kind == "response":
-        start = data.find(b"\r\n\r\n", body, stop)
-        payload = memoryview(data)[start + 4 if start >= 0 else body : stop]
-        digest, n = hashlib.sha256(payload).hexdigest(), len(payload)
-    return stop + 4, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, _page(fields.get(b"warc-refers-to", b""))
+    return stop + 4, body, _page(fields.get(b"warc-record-id", b"")), n, digest, kind, _page(fields.get(b"warc-refers-to", b""))
 
 
-def _stretch(data: bytes, lo: int, hi: int) -> list[tuple]:
+def _payload(data: bytes, body: int, stop: int) -> tuple[int, str]:
+    """Bytes and digest of a response's payload, which follows the head of its body."""
+    start = data.find(b"\r\n\r\n", body, stop)
+    payload = memoryview(data)[start + 4 if start >= 0 else body : stop]
+    return len(payload), hashlib.sha256(payload).hexdigest()
+
+
+def _stretch(data: bytes, lo: int, hi: int, read_to: int = 0) -> tuple[list[tuple], int]:
     """Candidates that start in a stretch, in order: offset, exit, first, last, and what the record says.
 
     exit: where the chain from here leaves the stretch, or -1 if it breaks. The chains form a forest whose roots leave;
     first and last number it in depth-first order, so that x lies on the chain from y if x.first <= y.first <= x.last.
+
+    Payloads are read once at most: a response that starts before the end of the last payload read (`read_to`, which is returned
+    too) lies within it, is on no chain from the file's start, and keeps the digest of its head. So nested records cost their
+    heads only.
     """
     found, at = {}, data.find(MAGIC, lo, hi + len(MAGIC) - 1)
     while 0 <= at < hi:
         if got := _candidate(data, at):
-            found[at] = got
+            to, body, page, n, digest, kind, refers_to = got
+            if at >= read_to:
+                read_to = to
+                if kind == "response":
+                    n, digest = _payload(data, body, to - 4)
+            found[at] = to, page, n, digest, kind, refers_to
         at = data.find(MAGIC, at + 1, hi + len(MAGIC) - 1)
     below, exits, first, free, roots = dict.fromkeys(found, 1), {}, {}, {}, 0
     for at in sorted(found):
@@ -166,7 +178,7 @@ def _stretch(data: bytes, lo: int, hi: int) -> list[tuple]:
             exits[at], first[at] = to if to >= hi else -1, roots
             roots += below[at]
         free[at] = first[at] + 1
-    return [(at, exits[at], first[at], first[at] + below[at] - 1, *found[at][1:]) for at in sorted(found)]
+    return [(at, exits[at], first[at], first[at] + below[at] - 1, *found[at][1:]) for at in sorted(found)], read_to
 
 
 def candidates(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFrame:
@@ -175,8 +187,10 @@ def candidates(spark: SparkSession, path: str, stretch: int = STRETCH) -> DataFr
     def scan(batches):
         for batch in common.slices(batches, 1):
             name, data = batch.column(0)[0].as_py(), batch.column(1)[0].as_py()
+            read_to = 0
             for k, lo in enumerate(range(0, len(data), stretch)):
-                if rows := _stretch(data, lo, min(lo + stretch, len(data))):
+                rows, read_to = _stretch(data, lo, min(lo + stretch, len(data)), read_to)
+                if rows:
                     offset, leave, first, last, page, size, digest, kind, to = zip(*rows, strict=True)
                     n = len(rows)
                     yield common.to_batch(CANDIDATES, {"file": [name] * n, "stretch": [k] * n, "offset": offset, "exit": leave, "first": first, "last": last, "page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": to})

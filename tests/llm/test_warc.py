@@ -23,6 +23,20 @@ def test_records_survive_magic_in_payloads(spark):
         assert (r.record_type, r.refers_to) == (("revisit", 1) if again else ("response", None))
 
 
+def test_nested_records_with_one_end(spark):
+    """A payload full of records that end where it ends, in stretches that begin within it."""
+    inner, size = ["x" * 20], 20
+    for k in range(300):
+        inner.append(f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:{1000 + k}>\r\nContent-Length: {size}\r\n\r\n")
+        size += len(inner[-1])
+    html = "".join(reversed(inner))
+    rows = [(1, "u", "first"), (2, "u", html), (3, "u", "y" * 500), (4, "u", html + "z"), (5, "u", "last")]
+    path = common.shared_path(spark, "test-warc")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path)
+    got = {r.page_id: r for r in warc.verified(common.settled(warc.candidates(spark, path, stretch=3000), "test")).collect()}
+    assert {k: (r.payload_bytes, r.payload_digest) for k, r in got.items()} == {k: (len(h), hashlib.sha256(h.encode()).hexdigest()) for k, _, h in rows}
+
+
 def test_repeated_rows_and_empty_table(spark):
     rows = [(5, "u", "z" * 200)] * 2 + [(6, "u", "z" * 200)]
     path = common.shared_path(spark, "test-warc")
@@ -37,7 +51,7 @@ def test_repeated_rows_and_empty_table(spark):
 def test_broken_chain_keeps_what_comes_before(spark):
     one = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:1>\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
     bad = b"WARC/1.1\r\nContent-Length: 999999\r\n\r\nabc\r\n\r\n"
-    rows = warc._stretch(one + bad + one, 0, 1000)
+    rows, _ = warc._stretch(one + bad + one, 0, 1000)
     assert [r[0] for r in rows] == [0, len(one) + len(bad)]
     assert rows[0][1] == -1
 
@@ -62,6 +76,17 @@ def test_work_is_in_proportion_to_repeated_magic():
         warc._stretch(data, 0, len(data))
         return time.perf_counter() - began
 
+    def nested(count):  # records one in the other, all with the same end
+        data = b"x" * 20 + b"\r\n\r\n"
+        parts, size = [data], len(data)
+        for k in range(count):
+            head = b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:%d>\r\nContent-Length: %d\r\n\r\n" % (k, size - 4)
+            parts.append(head)
+            size += len(head)
+        return b"".join(reversed(parts))
+
+    assert len(warc._stretch(nested(100), 0, 1 << 20)[0]) == 100
+    assert seconds(nested(80_000)) < 24 * seconds(nested(10_000)) + 0.5  # 8 MB
     for piece in (b"WARC/1.1\r\n", b"A: WARC/1.1\r\n", b"WARC/1.1\r\nA: b\r\n"):
         small, large = seconds(piece * 5_000), seconds(piece * 40_000)
         assert large < 24 * small + 0.5, piece
