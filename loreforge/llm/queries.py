@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .decontaminate import SQL as DECONTAMINATION_SQL
 from .decontaminate import op8_decontamination
 from .exact import SQL as EXACT_SQL
@@ -25,7 +26,7 @@ from .warc import op3_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_sketch": op2_sketch, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_suffix_tree": op6_suffix_tree, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op11_phrases": op11_phrases, "op13_exact": op13_exact}
+    return {"op1_quality": op1_quality, "op2_sketch": op2_sketch, "op3_warc": op3_warc, "op4_toxicity": op4_toxicity, "op5_language": op5_language, "op6_suffix_tree": op6_suffix_tree, "op7_simple8b": op7_simple8b, "op8_decontamination": op8_decontamination, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op11_phrases": op11_phrases, "op12_alignment": op12_alignment, "op13_exact": op13_exact}
 
 
 def oracle_sql() -> dict[str, str]:
