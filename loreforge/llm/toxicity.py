@@ -108,8 +108,9 @@ def decode(token: str, model: CharModel) -> str:
 
 
 def ambiguous(token: str) -> bool:
-    """Whether a token has more than one reading that holds a letter; a word of letters none of which is doubled has itself only."""
-    return bool(_TWICE.search(token)) if token.isalpha() else any(c.isalpha() for c in token)
+    """Whether a token has another reading that holds a letter: it has doubled letters, or signs among letters or in their place.
+    A word of letters none of which is doubled has itself only."""
+    return bool(_TWICE.search(token)) if token.isalpha() else any(c.isalpha() or c in LEET for c in token)
 
 
 def _decoded(token: str, model: CharModel) -> list[str]:
@@ -125,7 +126,8 @@ def _decoded(token: str, model: CharModel) -> list[str]:
 def restore(text: str, model: CharModel) -> set[str]:
     """The distinct words of a text in lower case, as written and as restored.
 
-    Each token goes through the lattice. One that has a single reading (letters, none of them doubled) is that reading.
+    Each token with more than one reading goes through the lattice, digits and signs without any letter too. Signs at its edges
+    are read both as marks around it and as letters of it, where they stand for some.
     """
     low = text.lower()
     words: set[str] = set()
@@ -139,10 +141,12 @@ def restore(text: str, model: CharModel) -> set[str]:
         words.update((bare, *_letters(bare)))
         if bare and bare.isalpha() and not _TWICE.search(bare) and token.lstrip(_EDGE) != token and token[0] in LEET and not token.startswith(token[0] * 2):
             words.update(_decoded(token.rstrip(".,!?;:"), model))  # a sign in front may be its first letter
-        elif ambiguous(bare):
-            front = token.rstrip(".,?;:") if token[0] in LEET else bare
-            for reading in {bare, front, token.rstrip(".,?;:")} if token[-1] in LEET or token[0] in LEET else {bare}:
-                words.update(_decoded(reading, model))
+        elif ambiguous(body := token.rstrip(".,?;:")):
+            front = body if token[0] in LEET else bare
+            readings = {bare, front, body} if body[-1] in LEET or token[0] in LEET else {bare}
+            for reading in readings:
+                if reading and ambiguous(reading):
+                    words.update(_decoded(reading, model))
     for found in _SPELT.finditer(low):
         words.update(_letters(decode(found[0], model)))
     words.discard("")

@@ -263,3 +263,19 @@ def test_suffix_tree_odd_tables(spark):
     assert len(odd) == len(ROWS) and all(math.isfinite(r.score) for r in odd)
     assert next(r for r in odd if r.doc_id == 1).n_tokens == 1
     assert suffix_tree.score_documents(spark.createDataFrame([], ODD)).count() == 0
+
+
+def test_tokens_without_a_letter_go_through_the_lattice():
+    import numpy as np
+
+    from loreforge.llm import toxicity as t
+
+    counts = np.zeros(t.SIZE**3, np.int64)
+    for word in ("ass", "shit", "sit", "the", "you", "here", "as"):
+        k = [t.GAP, t.GAP, *(t._SYMBOL[c] for c in word), t.GAP]
+        for x, y, z in zip(k, k[1:], k[2:]):
+            counts[(x * t.SIZE + y) * t.SIZE + z] += 1000
+    model = t.CharModel(counts)
+    for token, word in (("455", "ass"), ("$#!7", "shit"), ("5#17", "shit"), ("(455)", "ass"), ("455,", "ass"), ("$#!7.", "shit"), ("a55", "ass")):
+        assert word in t.restore(f"you {token} here", model), token
+    assert {"you", "here"} <= t.restore("you ... here -- ,", model)
