@@ -271,7 +271,7 @@ def test_tokens_without_a_letter_go_through_the_lattice():
     from loreforge.llm import toxicity as t
 
     counts = np.zeros(t.SIZE**3, np.int64)
-    for word in ("ass", "shit", "sit", "the", "you", "here", "as"):
+    for word in ("ass", "shit", "sit", "the", "you", "here"):
         k = [t.GAP, t.GAP, *(t._SYMBOL[c] for c in word), t.GAP]
         for x, y, z in zip(k, k[1:], k[2:]):
             counts[(x * t.SIZE + y) * t.SIZE + z] += 1000
