@@ -74,6 +74,115 @@ def claim_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.slices(found, nodes.where("barrier").select("artifact", "node"), references)
 
 
+# Each line of an order is a block of statements by its flag and status; the order ends with a write. Symbols are v0 to v2.
+_BLOCKS = {
+    "RO": (("if", "assign", "else", "assign", "endif"), ((0, 1), (0, 2), (1, 4), (2, 3), (3, 4))),
+    "RF": (("if", "assign", "elseif", "update", "endif"), ((0, 1), (0, 2), (1, 4), (2, 3), (2, 4), (3, 4))),
+    "AF": (("dow", "update", "enddo"), ((0, 1), (1, 2), (2, 0))),
+    "AO": (("assign",), ()),
+    "NO": (("assign",), ()),
+    "NF": (("if", "return", "endif"), ((0, 1), (0, 2))),
+}
+_BLOCK_KINDS = ", ".join(f"('{b}', {k}, '{kind}')" for b, (kinds, _) in _BLOCKS.items() for k, kind in enumerate(kinds))
+_BLOCK_EDGES = ", ".join(f"('{b}', {x}, {y})" for b, (_, edges) in _BLOCKS.items() for x, y in edges)
+_BLOCK_ENDS = ", ".join(f"('{b}', {len(kinds) - 1})" for b, (kinds, _) in _BLOCKS.items())
+_PROGRAM_SQL = f"""l AS (SELECT l_orderkey AS artifact, 10 * row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos, l_returnflag || l_linestatus AS block, l_partkey % 3 AS p, l_suppkey % 3 AS s, l_orderkey % 3 AS o, l_tax, l_discount, l_quantity FROM lineitem),
+e0 AS (SELECT artifact, max(pos) + 10 AS pos FROM l GROUP BY artifact),
+st AS (SELECT artifact, pos + k AS node, kind, 'main' AS scope, l.* EXCLUDE (artifact, pos), k FROM l JOIN (VALUES {_BLOCK_KINDS}) AS b(block, k, kind) USING (block)
+UNION ALL SELECT artifact, pos, 'write', 'main', '', 0, 0, artifact % 3, 0, 0, 0, 0 FROM e0),
+ed AS (SELECT artifact, pos + x AS src, pos + y AS dst FROM l JOIN (VALUES {_BLOCK_EDGES}) AS b(block, x, y) USING (block)
+UNION ALL SELECT artifact, pos + k, pos + 10 FROM l JOIN (VALUES {_BLOCK_ENDS}) AS b(block, k) USING (block)),
+ef AS (SELECT artifact, node, kind,
+  CASE kind WHEN 'if' THEN ['v' || o] WHEN 'elseif' THEN ['v' || p] WHEN 'dow' THEN ['v' || o] WHEN 'update' THEN ['v' || p] WHEN 'write' THEN ['v' || o, 'v2'] WHEN 'assign' THEN (CASE WHEN k = 3 AND l_quantity > 45 THEN ['unresolved:' || p] ELSE ['v' || s] END) ELSE [] END AS reads,
+  CASE kind WHEN 'assign' THEN ['v' || p] WHEN 'update' THEN ['v' || s] ELSE [] END AS writes, kind = 'update' AND l_tax > 0.06 AS unknown FROM st),
+rf AS (SELECT artifact, node FROM st WHERE kind = 'if' AND l_discount > 0.08),
+dg AS (SELECT artifact, node, 'DECIMAL_OVERFLOW' AS code FROM st WHERE kind = 'assign' AND l_quantity < 3),
+g AS (SELECT l.artifact, pos + n AS node, pos + h AS head, pol AS polarity FROM l JOIN (VALUES ('RO', 1, 0, 'true'), ('RO', 2, 0, 'false'), ('RO', 3, 0, 'false'), ('RF', 1, 0, 'true'), ('RF', 2, 0, 'false'), ('RF', 2, 2, 'true'), ('RF', 3, 0, 'false'), ('RF', 3, 2, 'true'), ('AF', 1, 0, 'limited'), ('NF', 1, 0, 'true')) AS b(block, n, h, pol) USING (block))"""
+
+
+def _programs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Statements, edges, effects, references and blocking diagnostics of the orders as programs."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    name = lambda c: F.concat(F.lit("v"), F.pmod(F.col(c), F.lit(3)).cast("string"))
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("artifact"), (10 * F.row_number().over(w)).cast("long").alias("at"), F.concat("l_returnflag", "l_linestatus").alias("block"), name("l_partkey").alias("p"), name("l_suppkey").alias("s"), name("l_orderkey").alias("o"), "l_tax", "l_discount", "l_quantity")
+    per_block = lambda rows: F.explode(F.element_at(F.create_map(*[x for b, v in _BLOCKS.items() for x in (F.lit(b), F.array(*[F.struct(*r) for r in rows(*v)]))]), F.col("block")))
+    kinds = per_block(lambda kinds, _: [(F.lit(k).alias("k"), F.lit(kind).alias("kind")) for k, kind in enumerate(kinds)])
+    links = per_block(lambda kinds, edges: [(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in (*edges, (len(kinds) - 1, 10))])
+    last = lines.groupBy("artifact").agg((F.max("at") + 10).alias("node"), F.max("o").alias("o"))
+    st = lines.select("*", kinds.alias("b")).select("artifact", (F.col("at") + F.col("b.k")).alias("node"), F.col("b.kind").alias("kind"), F.col("b.k").alias("k"), "p", "s", "o", "l_tax", "l_discount", "l_quantity")
+    st = st.unionByName(last.select("artifact", "node", F.lit("write").alias("kind"), "o"), allowMissingColumns=True).withColumn("scope", F.lit("main"))
+    edges = lines.select("artifact", "at", links.alias("b")).select("artifact", (F.col("at") + F.col("b.x")).alias("src"), (F.col("at") + F.col("b.y")).alias("dst"))
+    kind, none = F.col("kind"), F.array().cast("array<string>")
+    spelt = F.when((F.col("k") == 3) & (F.col("l_quantity") > 45), F.concat(F.lit("unresolved:"), F.substring("p", 2, 1))).otherwise(F.col("s"))
+    reads = F.when(kind.isin("if", "dow"), F.array("o")).when(kind.isin("elseif", "update"), F.array("p")).when(kind == "write", F.array("o", F.lit("v2"))).when(kind == "assign", F.array(spelt)).otherwise(none)
+    writes = F.when(kind == "assign", F.array("p")).when(kind == "update", F.array("s")).otherwise(none)
+    effects = st.select("artifact", "node", reads.alias("reads"), writes.alias("writes"), ((kind == "update") & (F.col("l_tax") > 0.06)).alias("unknown"))
+    references = st.where("kind = 'if' and l_discount > 0.08").select("artifact", "node", F.lit("missing").alias("resolution"))
+    diagnostics = st.where("kind = 'assign' and l_quantity < 3").select("artifact", "node", F.lit("DECIMAL_OVERFLOW").alias("code"))
+    return st.select("artifact", "node", "kind", "scope"), edges, effects, references, diagnostics
+
+
+_SLICES_SQL = f"""{_PROGRAM_SQL},
+c AS (SELECT artifact, node AS use FROM st WHERE kind IN ('assign', 'update', 'write')),
+s0 AS (SELECT artifact, use, use AS member FROM c UNION SELECT c.artifact, use, head FROM c JOIN g ON g.artifact = c.artifact AND g.node = use),
+r(artifact, use, member) AS (SELECT * FROM s0 UNION SELECT r.artifact, use, src FROM r JOIN ed ON ed.artifact = r.artifact AND dst = member),
+may AS (SELECT * FROM (SELECT * FROM r EXCEPT SELECT * FROM s0) x WHERE NOT EXISTS (SELECT 1 FROM g a JOIN g b ON b.artifact = a.artifact AND b.head = a.head AND b.polarity <> a.polarity WHERE a.artifact = x.artifact AND a.node = x.use AND b.node = x.member)),
+rd AS (SELECT artifact, node, unnest(reads) AS symbol FROM ef), wr AS (SELECT artifact, node, unnest(writes) AS symbol FROM ef),
+asking AS (SELECT DISTINCT s0.artifact, use FROM s0 JOIN rd ON rd.artifact = s0.artifact AND rd.node = member),
+m(artifact, use, member, below) AS (SELECT artifact, use, member, 1000000 FROM s0
+UNION SELECT may.artifact, may.use, member, member FROM may JOIN ef ON ef.artifact = may.artifact AND ef.node = member AND unknown JOIN asking ON asking.artifact = may.artifact AND asking.use = may.use
+UNION SELECT m.artifact, m.use, may.member, may.member FROM m JOIN rd ON rd.artifact = m.artifact AND rd.node = m.member JOIN wr ON wr.artifact = m.artifact AND wr.symbol = rd.symbol JOIN may ON may.artifact = m.artifact AND may.use = m.use AND may.member = wr.node AND may.member < m.below),
+mm AS (SELECT DISTINCT artifact, use, member FROM m),
+codes AS (SELECT mm.artifact, use, 'UNKNOWN_EFFECT' AS code FROM mm JOIN ef ON ef.artifact = mm.artifact AND ef.node = member AND unknown
+UNION SELECT mm.artifact, use, code FROM mm JOIN dg ON dg.artifact = mm.artifact AND dg.node = member
+UNION SELECT mm.artifact, use, 'UNRESOLVED_SYMBOL' FROM mm JOIN rd ON rd.artifact = mm.artifact AND rd.node = member AND symbol LIKE 'unresolved:%'
+UNION SELECT c.artifact, use, 'LIMITED_CONTROL_REGION' FROM c JOIN g ON g.artifact = c.artifact AND g.node = use AND polarity = 'limited'
+UNION SELECT c.artifact, use, 'CONTROL_FLOW_TERMINATION_UNMODELED' FROM c JOIN st ON st.artifact = c.artifact AND st.kind = 'return' AND st.node < use),
+b AS (SELECT artifact, use, string_agg(code, ',' ORDER BY code) AS barriers FROM codes GROUP BY ALL),
+u AS (SELECT DISTINCT mm.artifact, use FROM mm JOIN rf ON rf.artifact = mm.artifact AND rf.node = member),
+sl AS (SELECT mm.artifact, mm.use AS node, string_agg(CAST(member AS VARCHAR), ',' ORDER BY member) AS members, coalesce(any_value(barriers), '') AS barriers, CASE WHEN any_value(barriers) IS NOT NULL THEN 'blocked' WHEN any_value(u.use) IS NOT NULL THEN 'unresolved' ELSE 'supported_within_profile' END AS state
+FROM mm LEFT JOIN b ON b.artifact = mm.artifact AND b.use = mm.use LEFT JOIN u ON u.artifact = mm.artifact AND u.use = mm.use GROUP BY mm.artifact, mm.use)"""
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, *rest = _programs(spark, sf_dir)
+    candidates = nodes.where(F.col("kind").isin("assign", "update", "write")).select("artifact", "node")
+    return nodes, candidates, structure.fact_slices(nodes, *rest, candidates, 8)
+
+
+@query(f"WITH RECURSIVE {_SLICES_SQL} SELECT * FROM sl")
+def guarded_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each assignment, update and write of the orders' programs rests on, without the other arms of its ifs."""
+    return _sliced(spark, sf_dir)[2].select("artifact", "node", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"), F.array_join("barriers", ",").alias("barriers"), "state")
+
+
+@query(f"""WITH RECURSIVE {_SLICES_SQL},
+a AS (SELECT st.artifact, st.node, sl.state, sha256(concat_ws('/', CAST(st.artifact AS VARCHAR), scope, kind, coalesce(writes[1], ''))) AS anchor FROM st JOIN sl ON sl.artifact = st.artifact AND sl.node = st.node JOIN (SELECT artifact, node, writes FROM ef) f ON f.artifact = st.artifact AND f.node = st.node),
+o AS (SELECT *, row_number() OVER (PARTITION BY artifact, anchor ORDER BY node) - 1 AS ordinal FROM a),
+t AS (SELECT artifact, node, string_agg(head || ':' || polarity, ',' ORDER BY head) AS conditions FROM g WHERE polarity <> 'limited' GROUP BY ALL)
+SELECT 'rule_' || sha256('fact-source-candidate/' || anchor || '/' || ordinal) AS rule_id, o.artifact, o.node, coalesce(conditions, '') AS conditions, ordinal, state FROM o LEFT JOIN t ON t.artifact = o.artifact AND t.node = o.node""")
+def guarded_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of the orders' programs under their guards, with the support of their slices."""
+    nodes, candidates, supports = _sliced(spark, sf_dir)
+    effects = _programs(spark, sf_dir)[2]
+    targets = effects.select("artifact", "node", F.get("writes", F.lit(0)).alias("target"))
+    return structure.guarded_rules(candidates.join(targets, ["artifact", "node"]), nodes, supports, 8)
+
+
+_EVENT_KINDS = {"click": "if", "view": "endif", "purchase": "else", "signup": "assign", "error": "procedure_start"}
+
+
+@query("""WITH RECURSIVE k AS (SELECT user_id AS artifact, event_id AS node, CASE event_type WHEN 'click' THEN 'if' WHEN 'view' THEN 'endif' WHEN 'purchase' THEN 'else' WHEN 'signup' THEN 'assign' ELSE 'procedure_start' END AS kind, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events),
+s(artifact, i, node, stack, fault) AS (SELECT artifact, 0::BIGINT, 0::BIGINT, '', '' FROM k GROUP BY artifact
+UNION ALL SELECT k.artifact, k.i, k.node, CASE kind WHEN 'if' THEN stack || 'i' WHEN 'else' THEN left(stack, len(stack) - 1) || 'e' WHEN 'endif' THEN left(stack, len(stack) - 1) ELSE stack END,
+CASE WHEN kind = 'procedure_start' AND stack <> '' THEN 'SCOPE' WHEN kind = 'else' AND right(stack, 1) <> 'i' THEN 'ARM' WHEN kind = 'endif' AND stack = '' THEN 'END' WHEN k.i = k.n AND (CASE kind WHEN 'if' THEN len(stack) + 1 WHEN 'endif' THEN len(stack) - 1 ELSE len(stack) END) > 0 THEN 'UNCLOSED' ELSE '' END
+FROM s JOIN k ON k.artifact = s.artifact AND k.i = s.i + 1 WHERE fault = '') SELECT artifact, node, fault FROM s WHERE fault <> ''""")
+def structure_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events of users as statements, most of which do not nest: the first that is wrong."""
+    kind = F.element_at(F.create_map(*[F.lit(x) for kv in _EVENT_KINDS.items() for x in kv]), F.col("event_type"))
+    return structure.structure_faults(table(spark, sf_dir, "events").select(F.col("user_id").alias("artifact"), F.col("event_id").alias("node"), kind.alias("kind")))
+
+
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_linestatus, CASE l_returnflag WHEN 'R' THEN 'update' WHEN 'A' THEN 'call' ELSE 'write' END AS kind, lag(CASE l_returnflag WHEN 'R' THEN 'update' WHEN 'A' THEN 'call' ELSE 'write' END) OVER (PARTITION BY l_orderkey, l_linestatus, l_returnflag = 'N' ORDER BY l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey) AS before FROM lineitem)
 SELECT l_orderkey AS artifact, l_linenumber * 100000000 + l_partkey * 1000 + l_suppkey AS node, l_partkey AS callee FROM l WHERE kind = 'call' AND before = 'update' AND l_partkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'N' AND l_discount = 0) AND l_partkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_tax > 0.07)""")
 def local_workflows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -238,3 +238,119 @@ def test_prefixes_of_requests_spread_over_tasks(spark):
             want.append((request, i, size, used[request]))
     frame = spark.createDataFrame(rows, "req string, id long, size long").repartition(7)
     assert _rows(packing.budget_prefix(frame, "req", "id", "size", 120)) == sorted(want, key=repr)
+
+
+def _first_fault(kinds):
+    """The stack machine of control structures: the first statement (from 1) that is wrong, and why."""
+    if len(kinds) > 2000:
+        return 1, "LIMIT"
+    stack = []
+    for node, kind in enumerate(kinds, 1):
+        if kind in structure.SCOPES and stack:
+            return node, "SCOPE"
+        if kind in ("elseif", "else"):
+            if not stack or stack[-1][0] != "if" or stack[-1][1]:
+                return node, "ARM"
+            stack[-1][1] = kind == "else"
+        if kind in structure.ENDS:
+            if not stack or stack[-1][0] != structure.ENDS[kind]:
+                return node, "END"
+            stack.pop()
+        if kind in structure.OPENERS:
+            stack.append([structure.OPENERS[kind], False])
+            if len(stack) > 128:
+                return node, "LIMIT"
+    return (len(kinds), "UNCLOSED") if stack else None
+
+
+def test_faults_of_bad_structures_against_a_stack(spark):
+    rng = random.Random(11)
+    words = [*structure.OPENERS, *structure.ENDS, *structure.ARMS, "procedure_start", "subroutine_end", "eval"]
+    programs = {f"r{i}": [rng.choice(words) for _ in range(rng.randint(1, 12))] for i in range(250)}
+    for i in range(120):  # sound ones with one statement changed, dropped or doubled
+        kinds = _random_program(rng)
+        at = rng.randrange(len(kinds))
+        programs[f"c{i}"] = kinds[:at] + rng.choice([[], [rng.choice(words)], [kinds[at]] * 2]) + kinds[at + 1 :]
+    programs |= {f"s{i}": _random_program(rng) for i in range(20)}
+    programs |= {"deep": ["if"] * 129 + ["endif"] * 129, "allowed": ["if"] * 128 + ["endif"] * 128, "long": ["eval"] * 2001, "stray": ["endif", "if", "eval", "endif"], "late": ["eval", "endif"] + ["if"] * 200}
+    rows = [(p, n, k) for p, kinds in programs.items() for n, k in enumerate(kinds, 1)]
+    frame = spark.createDataFrame(rows, "artifact string, node long, kind string")
+    got = {r.artifact: (r.node, r.fault) for r in structure.structure_faults(frame).collect()}
+    want = {p: f for p, kinds in programs.items() if (f := _first_fault(kinds))}
+    assert got == want and set(f for _, f in want.values()) == {"SCOPE", "ARM", "END", "LIMIT", "UNCLOSED"}
+    assert {r.artifact for r in structure.guards(frame, 8).select("artifact").distinct().collect()} <= set(programs) - set(want)
+
+
+def _slice(nodes, preds, facts, refs, codes, guards, use):
+    """One candidate's slice by a walk over its predecessors, from the last statement up."""
+    kinds, scopes = {n: k for n, k, _ in nodes}, {n: s for n, _, s in nodes}
+    mine = dict(guards.get(use, []))
+    chosen = {use, *mine}
+    reach, todo = set(), list(chosen)
+    while todo:
+        n = todo.pop()
+        if n not in reach:
+            reach.add(n)
+            todo += preds.get(n, ())
+    found, needed, unsure = set(), set(), False
+    if any(scopes[n] == scopes[use] and n < use and kinds[n] in structure.TERMINATORS for n in kinds):
+        found.add("CONTROL_FLOW_TERMINATION_UNMODELED")
+    if "limited" in mine.values():
+        found.add("LIMITED_CONTROL_REGION")
+
+    def take(n):
+        nonlocal unsure
+        chosen.add(n)
+        reads, _, unknown = facts[n]
+        needed.update(reads)
+        if unknown:
+            found.add("UNKNOWN_EFFECT")
+        found.update(codes.get(n, ()))
+        unsure |= n in refs
+
+    for n in sorted(chosen):
+        take(n)
+    for n in sorted(reach, reverse=True):
+        if n in chosen or scopes[n] != scopes[use] or any(mine.get(h, p) != p for h, p in guards.get(n, [])):
+            continue
+        if facts[n][2] and needed or set(facts[n][1]) & needed:
+            take(n)
+    if any(s.startswith("unresolved:") for s in needed):
+        found.add("UNRESOLVED_SYMBOL")
+    return sorted(chosen), sorted(found), "blocked" if found else "unresolved" if unsure else "supported_within_profile"
+
+
+def test_slices_against_a_walk(spark):
+    rng = random.Random(21)
+    tables = {k: [] for k in ("nodes", "edges", "effects", "refs", "codes", "candidates")}
+    want = {}
+    for p in (f"p{i}" for i in range(14)):
+        kinds = _random_program(rng)[:40]
+        if _first_fault(kinds):
+            kinds = ["eval", "if", "eval", "elseif", "eval", "return", "else", "eval", "endif", "eval"]
+        kinds = [("return" if rng.random() < 0.04 else "call") if k == "eval" and rng.random() < 0.2 else k for k in kinds]
+        nodes = [(n, k, "sub" if n > 30 else "main") for n, k in enumerate(kinds, 1)]
+        edges = {(n, n + 1) for n in range(1, len(kinds))} | {(rng.randint(1, len(kinds)), rng.randint(1, len(kinds))) for _ in range(4)}
+        preds = {}
+        for a, b in edges:
+            preds.setdefault(b, set()).add(a)
+        facts = {n: ([rng.choice(["a", "b", "c", "unresolved:x" if rng.random() < 0.2 else "d"]) for _ in range(rng.randint(0, 2))], [rng.choice("abcd") for _ in range(rng.randint(0, 1))], rng.random() < 0.06) for n, _, _ in nodes}
+        refs = {n for n, _, _ in nodes if rng.random() < 0.1}
+        codes = {n: {"CODE"} for n, _, _ in nodes if rng.random() < 0.04}
+        guards = {}
+        for n, h, polarity in _guards(kinds):
+            guards.setdefault(n, []).append((h, polarity))
+        tables["nodes"] += [(p, *n) for n in nodes]
+        tables["edges"] += [(p, a, b) for a, b in edges]
+        tables["effects"] += [(p, n, r, w, u) for n, (r, w, u) in facts.items()]
+        tables["refs"] += [(p, n, "missing") for n in refs] + [(p, 1, "resolved")]
+        tables["codes"] += [(p, n, "CODE") for n in codes]
+        for n, _, _ in nodes:
+            if rng.random() < 0.6:
+                tables["candidates"].append((p, n))
+                want[p, n] = _slice(nodes, preds, facts, refs, codes, guards, n)
+    make = lambda k, schema: spark.createDataFrame(tables[k], "artifact string, " + schema)
+    frames = make("nodes", "node long, kind string, scope string"), make("edges", "src long, dst long"), make("effects", "node long, reads array<string>, writes array<string>, unknown boolean"), make("refs", "node long, resolution string"), make("codes", "node long, code string")
+    got = structure.fact_slices(*frames, make("candidates", "node long"), 8)
+    assert {(r.artifact, r.node): (r.members, r.barriers, r.state) for r in got.collect()} == want
+    assert {s for _, _, s in want.values()} == {"blocked", "unresolved", "supported_within_profile"}
