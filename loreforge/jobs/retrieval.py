@@ -169,17 +169,30 @@ def reach_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UP_SQL = """SELECT 'o' || o_orderkey AS src, 'c' || o_custkey AS dst FROM orders UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation UNION SELECT 'r' || n_regionkey, 'n' || n_nationkey FROM nation WHERE n_nationkey % 5 = 0"""
 
 
+def _up_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def edge(name: str, a: str, b: str, condition: str = "true"):
+        return table(spark, sf_dir, name).where(condition).select(F.concat(F.lit(a[0]), F.col(a[2:]).cast("string")).alias("src"), F.concat(F.lit(b[0]), F.col(b[2:]).cast("string")).alias("dst"))
+
+    return edge("orders", "o:o_orderkey", "c:o_custkey").union(edge("customer", "c:c_custkey", "n:c_nationkey")).union(edge("nation", "n:n_nationkey", "r:n_regionkey")).union(edge("nation", "r:n_regionkey", "n:n_nationkey", "n_nationkey % 5 = 0"))
+
+
 @query(f"""WITH RECURSIVE e AS ({_UP_SQL}), p AS (SELECT src AS at, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src NOT IN (SELECT dst FROM e)) UNION ALL
 SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.at WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 4),
 w AS (SELECT p.path, p.at, count(e.dst) AS ways, count(e.dst) FILTER (NOT list_contains(p.path, e.dst)) AS fresh FROM p LEFT JOIN e ON e.src = p.at GROUP BY p.path, p.at)
 SELECT array_to_string(path, '>') AS path, len(path) AS nodes, CASE WHEN ways = 0 THEN 'leaf' WHEN fresh = 0 THEN 'cycle' ELSE 'limit' END AS ending FROM w WHERE len(path) > 1 AND (fresh = 0 OR len(path) = 4)""")
 def simple_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders up to regions, with ways back from regions to some nations."""
-    def edge(name: str, a: str, b: str, condition: str = "true"):
-        return table(spark, sf_dir, name).where(condition).select(F.concat(F.lit(a[0]), F.col(a[2:]).cast("string")).alias("src"), F.concat(F.lit(b[0]), F.col(b[2:]).cast("string")).alias("dst"))
+    return graph.simple_paths(_up_links(spark, sf_dir), 4)
 
-    links = edge("orders", "o:o_orderkey", "c:o_custkey").union(edge("customer", "c:c_custkey", "n:c_nationkey")).union(edge("nation", "n:n_nationkey", "r:n_regionkey")).union(edge("nation", "r:n_regionkey", "n:n_nationkey", "n_nationkey % 5 = 0"))
-    return graph.simple_paths(links, 4)
+
+@query(f"""WITH RECURSIVE e AS ({_UP_SQL}), p AS (SELECT src AS at, [src] AS path FROM (SELECT DISTINCT src FROM e WHERE src NOT IN (SELECT dst FROM e)) UNION ALL
+SELECT e.dst, list_append(p.path, e.dst) FROM p JOIN e ON e.src = p.at WHERE NOT list_contains(p.path, e.dst) AND len(p.path) < 6),
+w AS (SELECT p.path, CASE WHEN e.dst IS NULL THEN 'leaf' WHEN len(p.path) = 6 THEN 'limit' ELSE 'cycle' END AS ending, CASE WHEN len(p.path) < 6 THEN e.dst END AS back FROM p LEFT JOIN e ON e.src = p.at WHERE len(p.path) = 6 OR e.dst IS NULL OR list_contains(p.path, e.dst)),
+d AS (SELECT DISTINCT * FROM w)
+SELECT array_to_string(path, '>') AS path, len(path) AS nodes, ending, back FROM d ORDER BY CASE WHEN back IS NULL THEN path ELSE list_append(path, back) END, ending LIMIT 300""")
+def bounded_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 300 ways from orders up to regions and on, with each way back."""
+    return graph.bounded_paths(_up_links(spark, sf_dir), 6, 300)[0]
 
 
 @query("""WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation UNION SELECT 'n' || c_nationkey, 'c' || c_custkey FROM customer UNION SELECT 'c' || o_custkey, 'o' || o_orderkey FROM orders),
@@ -233,6 +246,20 @@ def dominator_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.dominators(edges, entries)
 
 
+@query(f"""WITH RECURSIVE {_FLOW_SQL}, a(artifact, avoided, node) AS (SELECT n.artifact, m.node, 0 FROM n JOIN n m ON m.artifact = n.artifact WHERE n.node = 0 AND m.node <> 0
+UNION SELECT a.artifact, a.avoided, e.dst FROM a JOIN e ON e.artifact = a.artifact AND e.src = a.node WHERE e.dst <> a.avoided),
+d AS (SELECT n.artifact, n.node, m.node AS dominator FROM n JOIN n m ON m.artifact = n.artifact AND m.node <> n.node WHERE NOT EXISTS (SELECT 1 FROM a WHERE a.artifact = n.artifact AND a.avoided = m.node AND a.node = n.node)),
+k AS (SELECT artifact, node, count(*) AS depth FROM d GROUP BY ALL), r AS (SELECT DISTINCT artifact, node FROM d UNION SELECT artifact, 0 FROM n WHERE node = 0)
+SELECT r.artifact, r.node, arg_max(d.dominator, coalesce(k.depth, 0)) AS idom, count(d.dominator) AS depth FROM r LEFT JOIN d ON d.artifact = r.artifact AND d.node = r.node LEFT JOIN k ON k.artifact = r.artifact AND k.node = d.dominator GROUP BY r.artifact, r.node""")
+def dominator_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn's immediate dominator, and how many it has: the tree's numbers say what stands above what."""
+    _, edges, entries = _conversation_flow(spark, sf_dir)
+    tree = flow.dominator_tree(edges, entries)
+    above = tree.select("artifact", F.col("first").alias("a"), F.col("last").alias("b"))
+    held = tree.join(above, "artifact").where("a < first and first <= b").groupBy("artifact", "node").agg(F.count("*").alias("depth"))
+    return tree.join(held, ["artifact", "node"], "left").select("artifact", "node", "idom", F.coalesce("depth", F.lit(0)).cast("long").alias("depth"))
+
+
 @query(r"""SELECT page_id, line_no, trim(substr(rpad(line, 80, ' '), 19, 10)) AS name_field, trim(substr(rpad(line, 80, ' '), 45, 36)) AS functions,
 len(rtrim(line)) > 80 AS overflow FROM (SELECT page_id, unnest(string_split(html, chr(10))) AS line, generate_subscripts(string_split(html, chr(10)), 1) AS line_no FROM pages)""")
 def fixed_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -53,7 +53,7 @@ def rule_conditions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Under which arms of which branches the turns of assistants come."""
     nodes, edges, entries = _conversation_flow(spark, sf_dir)
     candidates = nodes.where(F.array_contains("defines", "assistant")).select("artifact", "node")
-    return structure.arm_conditions(edges, flow.dominators(edges, entries), candidates)
+    return flow.arm_conditions(edges, entries, candidates)
 
 
 @query(f"""WITH RECURSIVE {_FLOW_SQL}, r(artifact, node, variable, definition) AS (

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, fixpoint
@@ -158,6 +158,68 @@ def call_paths(edges: DataFrame, depth: int) -> DataFrame:
         starts = rest.join(labels, "node").groupBy("label").agg(F.min("node").alias("node"))
 
 
+def bounded_paths(edges: DataFrame, depth: int, most: int = 1000, work: int = 100_000) -> tuple[DataFrame, list[str]]:
+    """(path, nodes, ending, back) as call_paths gives them, `most` at most, and which limits were met.
+
+    Paths are in order: those from roots first, then those from nodes that no path before has met, each in the order of their
+    nodes. Every beginning of a path goes on to one path at least, so a round keeps the first `most` of what is done and what still
+    grows: later ones cannot be among the first. Each node's first `most` links do likewise. So a round has most * most rows before
+    its cap and `most` after it, whatever the graph.
+
+    limits: `path_limit` if there are more paths, `depth_limit` if a path was ended at `depth` nodes, `work_limit` if more than
+    `work` links were looked at, which ends the search with the paths that are done.
+    """
+    order = Window.partitionBy("src").orderBy("dst")
+    links = cut(edges.where("dst is not null").select("src", "dst").distinct().withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank"))
+    everything = edges.where("dst is not null").select("src", "dst").distinct()
+    sources = cut(everything.select(F.col("src").alias("node")).distinct())
+    starts, labels, met, done, phase, looked, limits = sources.join(everything.select(F.col("dst").alias("node")), "node", "left_anti"), None, None, None, 0, 0, set()
+
+    def first(rows: DataFrame) -> DataFrame:
+        kept = cut(rows.orderBy("phase", "way", F.col("ending").isNull(), "ending").limit(most + 1))
+        if kept.count() <= most:
+            return kept
+        limits.add("path_limit")
+        return cut(kept.orderBy("phase", "way", F.col("ending").isNull(), "ending").limit(most))
+
+    while True:
+        new = starts.select(F.lit(phase).alias("phase"), F.array("node").alias("way"), F.array("node").alias("path"), F.lit(None).cast("string").alias("ending"), F.lit(None).cast(links.schema["dst"].dataType).alias("back"))
+        held = first(new if done is None else done.unionByName(new))
+        for size in range(1, depth + 1):
+            growing = held.where("ending is null")
+            nodes = growing.select(F.element_at("path", -1).alias("node"))
+            met = cut((nodes if met is None else met.union(nodes)).distinct())
+            at = growing.select("phase", "path", F.element_at("path", -1).alias("src"))
+            on = at.join(links, "src", "left").withColumn("again", F.coalesce(F.array_contains("path", F.col("dst")), F.lit(False)))
+            if size < depth:
+                looked += on.count()
+                if looked > work:
+                    limits.add("work_limit")
+                    return _named(held.where("ending is not null")), sorted(limits)
+            ending = F.when(F.col("dst").isNull(), "leaf").when(F.lit(size == depth), "limit").when(F.col("again"), "cycle")
+            back = F.when(ending == "cycle", F.col("dst"))
+            way = F.when(ending.isin("leaf", "limit"), F.col("path")).otherwise(F.concat("path", F.array("dst")))
+            grown = on.select("phase", way.alias("way"), F.when(ending.isNull(), way).otherwise(F.col("path")).alias("path"), ending.alias("ending"), back.alias("back")).distinct()
+            held = first(held.where("ending is not null").unionByName(grown))
+            if held.where("ending is null").isEmpty():
+                break
+        done = held
+        if "path_limit" in limits and done.where(F.col("phase") == 0).count() == most:
+            break
+        rest = cut(sources.join(met, "node", "left_anti"))
+        if rest.isEmpty():
+            break
+        labels = _labels(links) if labels is None else labels
+        starts, phase = rest.join(labels, "node").groupBy("label").agg(F.min("node").alias("node")), 1
+    if not done.where("ending = 'limit'").isEmpty():
+        limits.add("depth_limit")
+    return _named(done), sorted(limits)
+
+
+def _named(done: DataFrame) -> DataFrame:
+    return done.select(F.array_join("path", ">").alias("path"), F.size("path").alias("nodes"), "ending", "back")
+
+
 def layers(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, layer): parents (src) stand in lower layers than children (dst). What a cycle holds back has layer null."""
     rest, placed, layer = cut(nodes.select("node").distinct()), None, 0
