@@ -13,14 +13,14 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Each digest stands in one cell of each of the tables; the cells of a table in a fingerprint.
-TABLES, BASE_CELLS = 3, 4
+#: Each digest stands in one cell of each of the tables; the cells of a table at least, and paragraphs for each of them in a fingerprint.
+TABLES, BASE_CELLS, PER_CELL = 3, 4, 4
 #: A failed peeling is tried again with so many times the cells.
 LARGER = 4
 _SALTS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93], np.uint64)
 _CHECK, _NTH = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xA0761D6478BD642F)
-#: A line is cut after a word whose last bytes hash to zero in so many bits, so paragraphs have four words or so.
-CUT_BITS = 2
+#: A line is cut after a word whose last bytes hash to zero in so many bits, so paragraphs have eight words or so.
+CUT_BITS = 3
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -60,6 +60,10 @@ def _places(digests: np.ndarray, cells: np.ndarray, offset: np.ndarray) -> np.nd
     return np.stack([offset + k * cells + (_mixed(digests * salt) >> np.uint64(20)).astype(np.int64) % cells for k, salt in enumerate(_SALTS)])
 
 
+#: A cell as it stands in a fingerprint, and the bits of a check that count.
+_CELL, _LOW = np.dtype([("n", "<i2"), ("k", "<u8"), ("c", "<u4")]), np.uint64(0xFFFFFFFF)
+
+
 class Sketches:
     """Many sketches side by side: counts, sums of digests and of their checks, which add and subtract cell by cell."""
 
@@ -80,8 +84,8 @@ class Sketches:
 
     def texts(self) -> list[str]:
         """Each sketch as text: count, sum and check of each cell in base64."""
-        raw = np.zeros(len(self.count), np.dtype([("n", "<i4"), ("k", "<u8"), ("c", "<u4")]))
-        raw["n"], raw["k"], raw["c"] = self.count, self.key, self.check & np.uint64(0xFFFFFFFF)
+        raw = np.zeros(len(self.count), _CELL)
+        raw["n"], raw["k"], raw["c"] = self.count, self.key, self.check & _LOW
         data, width = raw.tobytes(), raw.dtype.itemsize
         return [base64.b64encode(data[a * width : b * width]).decode() for a, b in zip(self.offsets, self.offsets[1:])]
 
@@ -93,7 +97,7 @@ class Sketches:
         while len(look):
             sign = self.count[look]
             digest = self.key[look] * sign.astype(np.uint64)
-            pure = self.check[look] * sign.astype(np.uint64) == _mixed(digest)
+            pure = (self.check[look] * sign.astype(np.uint64) ^ _mixed(digest)) & _LOW == 0
             mine = np.unique(np.rec.fromarrays([owner[look[pure]], digest[pure], sign[pure]], names="of,digest,sign"))
             if not len(mine):
                 break
@@ -111,16 +115,54 @@ def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(lists) if lists else np.zeros(0, np.uint64)), of
 
 
+def _size_class(paragraphs: np.ndarray) -> np.ndarray:
+    """Cells of a table for so many paragraphs: a power of two, so that a larger sketch folds into a smaller one."""
+    wanted = np.maximum(BASE_CELLS, -(-paragraphs // PER_CELL))
+    return 1 << np.ceil(np.log2(wanted)).astype(np.int64)
+
+
 def fingerprints(lists: list[np.ndarray]) -> list[str]:
-    """The text form of each list's smallest sketch, after the number of its paragraphs."""
-    s = Sketches(np.full(len(lists), BASE_CELLS))
+    """The text form of each list's sketch, after the number of its paragraphs; its size follows from that number alone."""
+    s = Sketches(_size_class(np.array([len(x) for x in lists], np.int64)))
     digests, of = _flat(lists)
     s.add(digests, of, np.ones(len(of), np.int64))
     return [f"{len(x)}:{t}" for x, t in zip(lists, s.texts(), strict=True)]
 
 
-def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Share of paragraphs that two versions have in common, 1 for two empty ones.
+def near(a: list[str], b: list[str]) -> np.ndarray:
+    """Likeness of pairs of fingerprints, from these alone: the share of paragraphs in common, 1 for two empty ones.
+
+    The larger sketch folds to the smaller one's size, the two subtract, and peeling gives the number of paragraphs by which they
+    differ. A pair that differs by more than its cells give back (about three quarters of the paragraphs of the smaller one) has that
+    number estimated from the squares of the cells' counts, whose sum is that number on average, with an error of about the
+    root of 2 / (3 cells).
+    """
+    numbers, cells = np.zeros((2, len(a)), np.int64), np.zeros(len(a), np.int64)
+    parts: list[list[np.ndarray]] = [[], []]
+    for i, pair in enumerate(zip(a, b, strict=True)):
+        raw = []
+        for side, text in enumerate(pair):
+            n, data = text.split(":")
+            numbers[side, i] = int(n)
+            raw.append(np.frombuffer(base64.b64decode(data), _CELL))
+        cells[i] = min(map(len, raw)) // TABLES
+        for side in (0, 1):
+            parts[side].append(raw[side].reshape(TABLES, -1, cells[i]))
+    s = Sketches(cells)
+    for side, sign in ((0, np.int64(1)), (1, np.int64(-1))):
+        for name, to in (("n", s.count), ("k", s.key), ("c", s.check)):
+            folded = [x[name].astype(to.dtype).sum(axis=1).ravel() for x in parts[side]]
+            if folded:
+                to += np.concatenate(folded) * sign.astype(to.dtype)
+    squares = np.add.reduceat(s.count**2, s.offsets[:-1]) / TABLES if len(a) else np.zeros(0)
+    found, whole = s.peel()
+    apart, both = numbers[0] - numbers[1], numbers.sum(axis=0)
+    estimate = np.clip((squares - apart**2 / np.maximum(cells, 1)) / (1 - 1 / np.maximum(cells, 2)), np.maximum(np.abs(apart), found), both)
+    return 1.0 - np.where(whole, found, estimate) / np.maximum(both, 1)
+
+
+def differences(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """By how many paragraph digests two versions differ, all of them recovered.
 
     Sketches subtract and are peeled; where cells are left, the pair is sketched anew with more cells. The first size
     follows from the number of paragraphs by which the pair differs at least.
@@ -139,7 +181,7 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
         differ[todo[whole]] = n[whole]
         todo = todo[~whole]
         cells[todo] *= LARGER
-    return 1.0 - differ / np.maximum(na + nb, 1)
+    return differ
 
 
 def _range_of(key: Column, bounds: list[int]) -> Column:
@@ -187,7 +229,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 FINGERPRINTS = T.StructType(
     [T.StructField("doc_id", T.LongType()), T.StructField("n_chars", T.LongType()), T.StructField("edited_sha256", T.StringType()), T.StructField("fingerprint", T.StringType()), T.StructField("edited_fingerprint", T.StringType())]
     + [T.StructField(n, T.DoubleType()) for n in ("near_edited", "near_next")]
-    + [T.StructField("n_paragraphs", T.LongType())]
+    + [T.StructField(n, T.LongType()) for n in ("n_paragraphs", "differ_edited", "differ_next")]
 )
 
 
@@ -198,7 +240,8 @@ def edited(text: str, following: str) -> str:
 
 
 def compare_versions(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each document and of its edited version, and how alike these and the next document are.
+    """Fingerprints of each document and of its edited version, and how alike these and the next document's are: near_* from the
+    fingerprints alone, differ_* the paragraph digests that are not in both, recovered from sketches as large as that takes.
 
     A table of one document has itself as the next one. Null and empty texts have no paragraphs and are alike.
     """
@@ -209,8 +252,15 @@ def compare_versions(docs: DataFrame) -> DataFrame:
         a, b = [paragraphs(x) for x in raw], [paragraphs(x) for x in new]
         last = paragraphs(following[-1].encode("utf-8", "surrogatepass"))
         c = [a[i + 1] if i + 1 < len(rows) and following[i] is rows[i + 1][1] else (last if i + 1 == len(rows) else paragraphs(following[i].encode("utf-8", "surrogatepass"))) for i in range(len(rows))]
-        near = likeness(a + a, b + c)
-        return common.to_batch(FINGERPRINTS, {"doc_id": [i for i, _ in rows], "n_chars": [len(t) for _, t in rows], "edited_sha256": [hashlib.sha256(x).hexdigest() for x in new], "fingerprint": fingerprints(a), "edited_fingerprint": fingerprints(b), "near_edited": near[: len(rows)], "near_next": near[len(rows) :], "n_paragraphs": [len(x) for x in a]})
+        n = len(rows)
+        # Of the rows after these only what no row here has is fingerprinted once more.
+        own = fingerprints(a)
+        more = [k for k in range(n) if not (k + 1 < n and c[k] is a[k + 1])]
+        after = dict(zip(more, fingerprints([c[k] for k in more]), strict=True))
+        following_own = [after[k] if k in after else own[k + 1] for k in range(n)]
+        edited_own = fingerprints(b)
+        alike, differ = near(own + own, edited_own + following_own), differences(a + a, b + c)
+        return common.to_batch(FINGERPRINTS, {"doc_id": [i for i, _ in rows], "n_chars": [len(t) for _, t in rows], "edited_sha256": [hashlib.sha256(x).hexdigest() for x in new], "fingerprint": own, "edited_fingerprint": edited_own, "near_edited": alike[:n], "near_next": alike[n:], "n_paragraphs": [len(x) for x in a], "differ_edited": differ[:n], "differ_next": differ[n:]})
 
     def run(batches):
         rows, following, size, last = [], [], 0, None  # last: the row that waits for the one after it
