@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from decimal import Decimal
 
@@ -12,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .text import relative_path_ok
+from .text import ASSIGNMENT, BEARER, URI, relative_path_ok
 
 SAFE = 2**53 - 1
 _CANONICAL = T.StructType([T.StructField(n, T.StringType()) for n in ("canonical", "sha256", "error")])
@@ -79,21 +80,34 @@ def folded(column: pd.Series) -> pd.Series:
     return column.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
+def _folded_key(key: str) -> str:
+    return key.lower().replace("-", "_")
+
+
+def masked(value: str) -> str:
+    """What text.mask makes of a string, for strings within JSON."""
+    value = re.sub(ASSIGNMENT, r"\1=[REDACTED]", value)
+    return re.sub(URI, r"\1[REDACTED]@", re.sub(BEARER, "Bearer [REDACTED]", value))
+
+
 def scrub(drop: tuple[str, ...] = (), under: tuple[str, ...] | None = None, redact: tuple[str, ...] = ()):
     """A column function over JSON text: keys in `drop` go (anywhere, or only below a key in `under`), values of keys in
-    `redact` are replaced whatever they are; the result is canonical. What is no JSON becomes null."""
-    hidden = {k.lower() for k in redact}
+    `redact` are replaced whatever they are (a key counts in lower case with `_` for `-`), and credentials within the strings that
+    stay are masked where anything is redacted; the result is canonical. What is no JSON becomes null."""
+    hidden = {_folded_key(k) for k in redact}
 
     def walk(value, inside: bool):
         if isinstance(value, list):
             return [walk(v, inside) for v in value]
+        if isinstance(value, str) and hidden:
+            return masked(value)
         if not isinstance(value, dict):
             return value
         out = {}
         for k, v in value.items():
             if k in drop and (under is None or inside):
                 continue
-            out[k] = "[REDACTED]" if k.lower() in hidden else walk(v, inside or (under is not None and k in under))
+            out[k] = "[REDACTED]" if _folded_key(k) in hidden else walk(v, inside or (under is not None and k in under))
         return out
 
     @F.pandas_udf(T.StringType())

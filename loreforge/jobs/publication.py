@@ -34,23 +34,26 @@ def evidence_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return writers.admitted(incoming, existing, "evidence_id", "payload", {"UNKNOWN_AUTHORITY": F.col("o_orderpriority") != "5-LOW"}, [("subject", customers, "c_custkey")]).select("evidence_id", "outcome")
 
 
-@query("""SELECT s_suppkey AS dependency_id, CASE WHEN (s_acctbal >= 0) <> (s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')) THEN 'RESOLUTION_MISMATCH' WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 'TARGET_MISSING' ELSE 'insert' END AS outcome FROM supplier""")
+@query("""SELECT s_suppkey AS dependency_id, CASE WHEN (s_acctbal >= 0) <> (s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_returnflag = 'R')) THEN 'RESOLUTION_MISMATCH' WHEN s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 0) THEN 'TARGET_MISSING' WHEN s_suppkey % 3 = 0 THEN 'same' WHEN s_suppkey % 3 = 1 THEN 'conflict' ELSE 'insert' END AS outcome FROM supplier""")
 def dependency_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as edges to nations: one is resolved if and only if it has a target, which must be known."""
+    """Suppliers as edges to nations: one is resolved if and only if it has a target, which must be known. A third of them is stored
+    already, and another third under other names."""
     items, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
     returned = items.where("l_returnflag = 'R'").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("returned", F.lit(True))
     edges = supplier.join(returned, "s_suppkey", "left").select(F.col("s_suppkey").alias("dependency_id"), F.col("s_nationkey").alias("target"), (F.col("s_acctbal") >= 0).alias("resolved"), F.coalesce("returned", F.lit(False)).alias("has"), F.col("s_name").alias("payload"))
-    none = edges.select("dependency_id", "payload").limit(0)
+    third = F.pmod("dependency_id", F.lit(3))
+    stored = edges.where(third < 2).select("dependency_id", F.when(third == 0, F.col("payload")).otherwise(F.concat("payload", F.lit("?"))).alias("payload"))
     nations = table(spark, sf_dir, "nation").where("n_regionkey <> 0")
-    return writers.admitted(edges, none, "dependency_id", "payload", {"RESOLUTION_MISMATCH": F.col("resolved") == F.col("has")}, [("target", nations, "n_nationkey")]).select("dependency_id", "outcome")
+    return writers.admitted(edges, stored, "dependency_id", "payload", {"RESOLUTION_MISMATCH": F.col("resolved") == F.col("has")}, [("target", nations, "n_nationkey")]).select("dependency_id", "outcome")
 
 
-@query("""SELECT d.doc_id AS chunk_id, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN length(text) > 3000 THEN 'TOO_LONG' WHEN l.doc_id IS NULL THEN 'CITATION_MISSING' ELSE 'insert' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
+@query("""SELECT d.doc_id AS chunk_id, CASE WHEN length(text) = 0 THEN 'EMPTY' WHEN length(text) > 3000 THEN 'TOO_LONG' WHEN l.doc_id IS NULL THEN 'CITATION_MISSING' WHEN source = 'src1' THEN 'conflict' WHEN lang = 'en' THEN 'same' ELSE 'insert' END AS outcome FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def chunk_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as chunks: neither empty nor too long, and each cites something that is known."""
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("citation"), F.sha2("text", 256).alias("payload"), F.length("text").alias("size"))
-    none = docs.select("chunk_id", "payload").limit(0)
-    return writers.admitted(docs, none, "chunk_id", "payload", {"EMPTY": F.col("size") > 0, "TOO_LONG": F.col("size") <= 3000}, [("citation", table(spark, sf_dir, "labels"), "doc_id")]).select("chunk_id", "outcome")
+    """Documents as chunks: neither empty nor too long, and each cites something that is known. English ones are stored already,
+    and those of one source with another text."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("citation"), F.sha2("text", 256).alias("payload"), F.length("text").alias("size"), "lang", "source")
+    stored = docs.where("source = 'src1' or lang = 'en'").select("chunk_id", F.when(F.col("source") == "src1", F.sha2(F.lit("?"), 256)).otherwise(F.col("payload")).alias("payload"))
+    return writers.admitted(docs.drop("lang", "source"), stored, "chunk_id", "payload", {"EMPTY": F.col("size") > 0, "TOO_LONG": F.col("size") <= 3000}, [("citation", table(spark, sf_dir, "labels"), "doc_id")]).select("chunk_id", "outcome")
 
 
 @query("""WITH s AS (SELECT event_id, user_id, epoch_us(ts) AS a, epoch_us(ts) + 900000000 AS b, event_type FROM events)

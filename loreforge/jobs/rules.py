@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import flow, structure, writers
+from ..operators import assembly, flow, structure, writers
 from ..sources.tables import table
 from .registry import Registry
 from .retrieval import _FLOW_SQL, _conversation_flow
@@ -251,16 +251,21 @@ def review_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT o_orderkey AS subject, CASE o_orderpriority WHEN '1-URGENT' THEN 'approve' WHEN '2-HIGH' THEN 'reject' WHEN '3-MEDIUM' THEN 'approve' ELSE 'correct' END AS decision, CASE o_orderstatus WHEN 'F' THEN o_custkey + 1 ELSE o_custkey END AS expected FROM orders),
 s AS (SELECT o_orderkey AS subject, o_custkey AS head, CASE WHEN o_totalprice > 250000 THEN 'rejected' ELSE 'pending_review' END AS status FROM orders WHERE o_totalprice < 450000),
-g AS (SELECT l_orderkey AS subject, CASE WHEN min(l_discount) > 0 THEN 'supported' ELSE 'analysis_barrier' END AS state FROM lineitem GROUP BY l_orderkey),
-j AS (SELECT d.*, head, status, CASE WHEN head IS NULL THEN 'NOT_FOUND' WHEN expected <> head THEN 'STALE' WHEN decision = 'approve' AND coalesce(state, 'missing') <> 'supported' THEN 'UNSUPPORTED' WHEN decision = 'approve' AND status = 'rejected' THEN 'REJECTED' ELSE 'accepted' END AS outcome FROM d LEFT JOIN s USING (subject) LEFT JOIN g USING (subject))
+g AS (SELECT l_orderkey AS subject, CASE WHEN count(*) > count(p_partkey) THEN 'missing' WHEN bool_or(p_type = 'LARGE') THEN 'analysis_barrier' ELSE 'supported' END AS state FROM lineitem LEFT JOIN (SELECT * FROM part WHERE p_size > 2) ON p_partkey = l_partkey GROUP BY l_orderkey),
+j AS (SELECT d.*, head, status, CASE WHEN head IS NULL THEN 'NOT_FOUND' WHEN expected <> head THEN 'STALE' WHEN decision = 'approve' AND coalesce(state, 'supported') <> 'supported' THEN 'UNSUPPORTED' WHEN decision = 'approve' AND status = 'rejected' THEN 'REJECTED' ELSE 'accepted' END AS outcome FROM d LEFT JOIN s USING (subject) LEFT JOIN g USING (subject))
 SELECT subject, decision, outcome, CASE WHEN outcome <> 'accepted' THEN status WHEN decision = 'approve' THEN 'verified' WHEN decision = 'reject' THEN 'rejected' ELSE 'pending_review' END AS status FROM j""")
 def review_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions on orders: some expect another head, some have no support, some approve what is rejected."""
+    """Decisions on orders: some expect another head, some rest on parts that are missing or barriers, some approve what is rejected."""
     orders = table(spark, sf_dir, "orders")
     decision = F.when(F.col("o_orderpriority").isin("1-URGENT", "3-MEDIUM"), "approve").when(F.col("o_orderpriority") == "2-HIGH", "reject").otherwise("correct")
     decisions = orders.select(F.col("o_orderkey").alias("subject"), decision.alias("decision"), F.when(F.col("o_orderstatus") == "F", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("expected"))
     subjects = orders.where("o_totalprice < 450000").select(F.col("o_orderkey").alias("subject"), F.col("o_custkey").alias("head"), F.when(F.col("o_totalprice") > 250000, "rejected").otherwise("pending_review").alias("status"))
-    gate = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("subject")).agg(F.when(F.min("l_discount") > 0, "supported").otherwise("analysis_barrier").alias("state"))
+    order, part = (F.concat(F.lit(c), F.col(k).cast("string")) for c, k in (("o", "l_orderkey"), ("p", "l_partkey")))
+    parts = table(spark, sf_dir, "part").where("p_size > 2").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_type").alias("type"))
+    nodes = orders.select(F.concat(F.lit("o"), F.col("o_orderkey").cast("string")).alias("node"), F.lit(None).cast("string").alias("type")).union(parts)
+    links = table(spark, sf_dir, "lineitem").select(order.alias("src"), part.alias("dst"))
+    states = assembly.support_states(nodes, links, {"analysis_barrier": F.col("type") == "LARGE"})
+    gate = states.where(F.startswith("node", F.lit("o"))).select(F.substring("node", 2, 30).cast("long").alias("subject"), "state")
     return writers.reviewed(subjects, decisions, gate)
 
 
@@ -299,12 +304,14 @@ def extracted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH b AS (SELECT l_orderkey AS rule_id, l_linenumber, l_partkey, l_suppkey, l_discount, l_tax, l_returnflag FROM lineitem)
-SELECT rule_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax > 0.07 THEN 'BARRIER' WHEN p_partkey IS NULL THEN 'WORKFLOW_MISSING' WHEN s_suppkey IS NULL THEN 'EVIDENCE_MISSING' ELSE 'insert' END AS outcome
+SELECT rule_id, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_tax > 0.07 THEN 'BARRIER' WHEN p_partkey IS NULL THEN 'WORKFLOW_MISSING' WHEN s_suppkey IS NULL THEN 'EVIDENCE_MISSING' WHEN l_suppkey % 4 = 0 THEN 'same' WHEN l_suppkey % 4 = 1 THEN 'conflict' ELSE 'insert' END AS outcome
 FROM b LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 5) ON p_partkey = l_partkey LEFT JOIN (SELECT s_suppkey FROM supplier WHERE s_acctbal >= 0) ON s_suppkey = l_suppkey""")
 def bundle_writer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as rules of a bundle: each cites a workflow and evidence that are known, and has no barrier."""
+    """Lines as rules of a bundle: each cites a workflow and evidence that are known, and has no barrier. Those of some suppliers are
+    stored already, of others in another form."""
     key = F.concat_ws("/", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
     rows = table(spark, sf_dir, "lineitem").select(key.alias("key"), F.col("l_orderkey").alias("rule_id"), "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("workflow"), F.col("l_suppkey").alias("evidence"), F.lit("").alias("payload"), "l_tax")
-    none = rows.select("key", "payload").limit(0)
-    found = writers.admitted(rows, none, "key", "payload", {"BARRIER": F.col("l_tax") <= 0.07}, [("workflow", table(spark, sf_dir, "part").where("p_size > 5"), "p_partkey"), ("evidence", table(spark, sf_dir, "supplier").where("s_acctbal >= 0"), "s_suppkey")])
+    fourth = F.pmod("l_suppkey", F.lit(4))
+    stored = rows.where(fourth < 2).select("key", F.when(fourth == 0, "").otherwise("?").alias("payload")).distinct()
+    found = writers.admitted(rows, stored, "key", "payload", {"BARRIER": F.col("l_tax") <= 0.07}, [("workflow", table(spark, sf_dir, "part").where("p_size > 5"), "p_partkey"), ("evidence", table(spark, sf_dir, "supplier").where("s_acctbal >= 0"), "s_suppkey")])
     return found.select("rule_id", "l_linenumber", "l_partkey", "l_suppkey", "outcome")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +29,8 @@ def keyword_top(docs: DataFrame, key: str, body: str, words: list[str], k: int)
     for word in words:
         hits = hits.where(F.contains(low, F.lit(word)))
     for i, word in enumerate(words):
-        whole = rf"(?<![\p{{L}}\p{{N}}])\Q{word}\E(?![\p{{L}}\p{{N}}])"
+        quoted = re.sub(r"([^\w\s])", r"\\\1", word)
+        whole = rf"(?<![\p{{L}}\p{{N}}]){quoted}(?![\p{{L}}\p{{N}}])"
         hits = hits.withColumn(f"_tf{i}", F.regexp_count(low, F.lit(whole))).where(F.col(f"_tf{i}") > 0)
     score = sum((F.col(f"_tf{i}") / (F.col(f"_tf{i}") + 1.2) for i in range(1, len(words))), F.col("_tf0") / (F.col("_tf0") + 1.2))
     return hits.withColumn("score", F.round(score, 6)).drop(*[f"_tf{i}" for i in range(len(words))]).orderBy(F.desc("score"), key).limit(k)

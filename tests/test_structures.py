@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loreforge.functions import canonical, text
 from loreforge.jobs import catalog
-from loreforge.operators import assembly, binding, graph, inventory, packing, structure, writers
+from loreforge.operators import assembly, binding, graph, inventory, packing, search, structure, writers
 from loreforge.sources import members
 
 SMALL = "/root/testdata/sf0.001"
@@ -354,3 +354,18 @@ def test_slices_against_a_walk(spark):
     got = structure.fact_slices(*frames, make("candidates", "node long"), 8)
     assert {(r.artifact, r.node): (r.members, r.barriers, r.state) for r in got.collect()} == want
     assert {s for _, _, s in want.values()} == {"blocked", "unresolved", "supported_within_profile"}
+
+
+def test_keys_with_dashes_and_strings_within_json_are_masked(spark):
+    body = '{"api-key":"abc","Private-Key":[1],"note":"password=x1 and https://u:p@h/","deep":[{"t":"Bearer abc.def"}],"n":1}'
+    frame = spark.createDataFrame([(body,)], "j string")
+    got = frame.select(canonical.scrub(redact=text.SECRET_KEYS)("j")).first()[0]
+    assert got == '{"Private-Key":"[REDACTED]","api-key":"[REDACTED]","deep":[{"t":"Bearer [REDACTED]"}],"n":1,"note":"password=[REDACTED] and https://[REDACTED]@h/"}'
+    assert frame.select(canonical.scrub(drop=("n",))("j")).first()[0].count("password=x1") == 1  # nothing is masked where nothing is redacted
+
+
+def test_keywords_count_without_case_and_as_they_are_written(spark):
+    docs = spark.createDataFrame([(1, "that THAT other"), (2, "That c++ thatch"), (3, r"a\Eb that")], "doc_id long, text string")
+    top = lambda *words: [(r.doc_id, r.score) for r in search.keyword_top(docs, "doc_id", "text", list(words), 9).collect()]
+    assert top("THAT") == top("that") and [i for i, _ in top("that")] == [1, 2, 3]
+    assert [i for i, _ in top("c++")] == [2] and [i for i, _ in top(r"a\eb")] == [3] and top("tha.") == []
