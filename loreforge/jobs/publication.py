@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, text
-from ..operators import inventory, writers
+from ..operators import inventory, origins, writers
 from ..sources.tables import table
 from .registry import Registry
 
@@ -163,3 +163,36 @@ def bundle_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = F.concat(F.lit("n"), F.col("s_nationkey").cast("string"))
     nodes = supplier.where("s_acctbal >= 0").select(node.alias("node")).union(table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))))
     return writers.export_faults(files, manifest, links, nodes, supplier.select(node.alias("src"), nation.alias("dst")))
+
+
+# Documents as members: German ones in UTF-16, others in UTF-8. Each but every fourth takes in the one before it of its source, for five
+# characters in its middle.
+_MEMBER_SQL = """d AS (SELECT doc_id, source, lang, text, length(text) AS n, length(text) // 2 AS h, lag(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS before, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE length(text) BETWEEN 20 AND 4000),
+i AS (SELECT doc_id, n, h, lang, text, CASE WHEN k % 4 <> 0 THEN before END AS included FROM d)"""
+
+
+@query(f"""WITH RECURSIVE {_MEMBER_SQL},
+c(root, doc_id, k, included, n, h) AS (SELECT doc_id, doc_id, 0, included, n, h FROM i UNION ALL SELECT c.root, i.doc_id, c.k + 1, i.included, i.n, i.h FROM c JOIN i ON i.doc_id = c.included),
+s AS (SELECT *, coalesce(sum(h) OVER (PARTITION BY root ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, coalesce(sum(CASE WHEN included IS NULL THEN n ELSE n - 5 END) OVER (PARTITION BY root ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS below FROM c),
+p AS (SELECT root, doc_id, 0 AS a, CASE WHEN included IS NULL THEN n ELSE h END AS b, base AS start FROM s
+UNION ALL SELECT root, doc_id, h + 5, n, base + h + below FROM s WHERE included IS NOT NULL AND h + 5 < n),
+q AS (SELECT i.doc_id AS root, i.h - 10 AS x, i.h + 10 AS y FROM i),
+m AS (SELECT q.root, p.doc_id, greatest(x, start) AS place, a + greatest(x, start) - start AS source_start, a + least(y, start + b - a) - start AS source_stop FROM q JOIN p ON p.root = q.root AND start < y AND start + b - a > x)
+SELECT CAST(m.root AS VARCHAR) AS root, CAST(place AS BIGINT) AS place, CAST(m.doc_id AS VARCHAR) AS member, CAST(source_start AS BIGINT) AS source_start, CAST(source_stop AS BIGINT) AS source_stop,
+CAST(CASE i.lang WHEN 'de' THEN 2 * source_start ELSE strlen(substr(i.text, 1, source_start::BIGINT)) END AS BIGINT) AS byte_start,
+CAST(CASE i.lang WHEN 'de' THEN 2 * source_stop ELSE strlen(substr(i.text, 1, source_stop::BIGINT)) END AS BIGINT) AS byte_stop,
+CAST(strlen(substr(i.text, 1, source_stop::BIGINT)) AS BIGINT) AS decoded_stop,
+CAST(1 + len(regexp_extract_all(substr(i.text, 1, source_start::BIGINT), '\\r\\n|\\r|\\n')) AS BIGINT) AS start_line
+FROM m JOIN i ON i.doc_id = m.doc_id""")
+def included_span_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the characters around each include come from: members, bytes of two encodings, lines."""
+    w = Window.partitionBy("source").orderBy("doc_id")
+    docs = table(spark, sf_dir, "documents").withColumn("n", F.length("text").cast("long")).where("n between 20 and 4000")
+    docs = docs.select("doc_id", "lang", "text", "n", F.floor(F.col("n") / 2).alias("h"), F.when(F.row_number().over(w) % 4 != 0, F.lag("doc_id").over(w)).cast("string").alias("included")).withColumn("member", F.col("doc_id").cast("string"))
+    encoding = F.when(F.col("lang") == "de", "utf-16le").otherwise("utf-8")
+    content = F.when(F.col("lang") == "de", F.encode("text", "UTF-16LE")).otherwise(F.encode("text", "UTF-8"))
+    runs = origins.character_runs(docs.select("member", content.alias("content"), encoding.alias("encoding")))
+    includes = docs.where("included is not null").select("member", F.col("h").alias("start"), (F.col("h") + 5).alias("stop"), "included")
+    segments = origins.expanded_segments(docs.select("member", F.col("n").alias("chars")), includes, docs.select("member"))
+    spans = docs.select(F.col("member").alias("span"), F.col("member").alias("root"), (F.col("h") - 10).alias("start"), (F.col("h") + 10).alias("stop"))
+    return origins.span_origins(spans, segments, runs).select("root", F.col("at").alias("place"), "member", "source_start", "source_stop", "byte_start", "byte_stop", "decoded_stop", "start_line")

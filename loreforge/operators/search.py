@@ -22,10 +22,10 @@ def keyword_top(docs: DataFrame, key: str, body: str, words: list[str], k: int)
     """The k best documents that hold all words: the sum of tf / (tf + 1.2), then the key.
 
     A text that lacks a word even as a part goes first; in the others the words are counted where no letter or digit stands
-    beside them, which is what makes them tokens. Nothing is exploded or shuffled but the k best of each task.
+    beside them, which is what makes them tokens; case does not count. Nothing is exploded or shuffled but the k best of each task.
     """
     low = F.lower(F.col(body))
-    hits = docs
+    hits, words = docs, [w.lower() for w in words]
     for word in words:
         hits = hits.where(F.contains(low, F.lit(word)))
     for i, word in enumerate(words):
