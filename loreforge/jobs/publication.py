@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import canonical, text
-from ..operators import inventory, origins, writers
+from ..operators import inventory, origins, schemas, writers
 from ..sources.tables import table
 from .registry import Registry
 
@@ -106,6 +106,29 @@ def record_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", writers.first_fault(rules).alias("fault"))
 
 
+_ORDER_SCHEMA = {
+    "type": "object", "required": ["id", "status", "note"], "additionalProperties": False,
+    "properties": {
+        "id": {"type": "integer", "minimum": 1}, "status": {"enum": ["O", "F"]}, "priority": {"type": "string", "pattern": "^[1-4]-"}, "note": {"type": ["string", "null"]},
+        "lines": {"type": "array", "minItems": 2, "items": {"type": "object", "required": ["q"], "properties": {"n": {"type": "integer"}, "q": {"type": "number", "maximum": 48}, "flag": {"type": "string", "maxLength": 1, "enum": ["A", "N"]}}}},
+    },
+}
+
+
+@query("""WITH l AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n, CASE WHEN l_quantity > 48 THEN 'q' WHEN l_returnflag = 'R' THEN 'flag' END AS bad FROM lineitem),
+b AS (SELECT l_orderkey, n, min(i) FILTER (bad IS NOT NULL) AS i, arg_min(bad, i) FILTER (bad IS NOT NULL) AS bad FROM l GROUP BY ALL)
+SELECT o_orderkey, f[1] AS path, f[2] AS fault FROM (SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN ['$.note', 'REQUIRED'] WHEN o_custkey % 7 = 0 THEN ['$.extra', 'CLOSED'] WHEN o_orderkey = 0 THEN ['$.id', 'MINIMUM'] WHEN o_orderstatus NOT IN ('O', 'F') THEN ['$.status', 'ENUM']
+WHEN NOT regexp_matches(o_orderpriority, '^[1-4]-') THEN ['$.priority', 'PATTERN'] WHEN coalesce(n, 0) < 2 THEN ['$.lines', 'MIN_ITEMS'] WHEN bad IS NOT NULL THEN ['$.lines[' || i || '].' || bad, CASE bad WHEN 'q' THEN 'MAXIMUM' ELSE 'ENUM' END] END AS f FROM orders LEFT JOIN b ON l_orderkey = o_orderkey)""")
+def schema_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with their lines as JSON records against a compiled schema: the first fault of each, and where it is."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.struct(F.col("l_linenumber").alias("n"), F.col("l_quantity").alias("q"), F.col("l_returnflag").alias("flag")).alias("line"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(line)).alias("held"))
+    orders = table(spark, sf_dir, "orders").join(lines, "o_orderkey", "left")
+    fields = [F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("priority"), F.when(F.col("o_custkey") % 11 != 0, F.lit("")).alias("note"), F.coalesce("held.line", F.array().cast("array<struct<n: int, q: double, flag: string>>")).alias("lines"), F.when(F.col("o_custkey") % 7 == 0, F.lit(1)).alias("extra")]
+    fault = schemas.first_schema_fault(F.to_json(F.struct(*fields)), _ORDER_SCHEMA)
+    return orders.select("o_orderkey", fault.alias("f")).select("o_orderkey", "f.path", "f.fault")
+
+
 @query("""SELECT event_id, '{"k":"[REDACTED]"}' AS redacted, '{}' AS scrubbed, '{"metadata":{},"text":' || json_extract(props, '$.k') || '}' AS semantic FROM events""")
 def redacted_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata with a secret key hidden, with a key of the source dropped, and with it dropped below metadata only."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import flow, graph, packing, search
+from ..functions.lineage import shared_folder
+from ..operators import flow, graph, index, packing, search
 from ..sources import members
 from ..sources.tables import table
 from .registry import Registry
@@ -28,6 +31,15 @@ def keyword_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", "source", "score", status.alias("status"))
 
 
+@query(f"""WITH t AS (SELECT doc_id, {_TOKENS_SQL} AS w FROM documents), c AS (SELECT doc_id, len(list_filter(w, lambda x: x = 'that')) AS a, len(list_filter(w, lambda x: x = 'with')) AS b FROM t)
+SELECT doc_id, round(a / (a + 1.2) + b / (b + 1.2), 6) AS score FROM c WHERE a > 0 AND b > 0 ORDER BY score DESC, doc_id LIMIT 20""")
+def indexed_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents that hold all words, from an index that is written first; the limit is the feature."""
+    path = f"{shared_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+    index.write_index(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", path, 64)
+    return index.Index(spark, path).top(["that", "with"], 20).select(F.col("key").alias("doc_id"), "score")
+
+
 @query(f"SELECT token, count(*) AS documents, CAST(sum(tf) AS BIGINT) AS occurrences, max(tf) AS most FROM (SELECT token, doc_id, count(*) AS tf FROM (SELECT doc_id, unnest({_TOKENS_SQL}) AS token FROM documents) GROUP BY token, doc_id) GROUP BY token")
 def postings_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.postings(table(spark, sf_dir, "documents"), "doc_id", "text").groupBy("token").agg(F.count("*").alias("documents"), F.sum("tf").alias("occurrences"), F.max("tf").alias("most"))
