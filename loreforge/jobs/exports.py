@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.lineage import shared_folder
 from ..operators import relational, snapshots
+from ..sources import trees
 from ..sources.tables import table
 from .registry import Registry
 from .retrieval import _MASK_SQL
@@ -37,6 +41,16 @@ def export_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshots.exported(_records(spark, sf_dir)).drop("content")
 
 
+@query(f"""WITH {_SNAPSHOT_SQL}, p AS (SELECT kind, id, '# ' || kind || ' ' || id || chr(10) || chr(10) || {_MASK_SQL} || chr(10) AS content FROM r)
+SELECT kind || '/' || sha256(id) || '.md' AS path, CAST(octet_length(encode(content)) AS BIGINT) AS bytes, sha256(content) AS sha256, sha256(content) AS read_sha256, CAST(NULL AS VARCHAR) AS fault FROM p""")
+def exported_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a snapshot written as files of a tree, read back and held against the tree's own listing."""
+    root = f"{shared_folder(spark).rstrip('/')}/export-{uuid.uuid4().hex}"
+    trees.write_tree(snapshots.exported(_records(spark, sf_dir)).select("path", F.encode("content", "UTF-8").alias("content")), root)
+    there = trees.read_tree(spark, root).select("path", F.sha2("content", 256).alias("read_sha256"))
+    return trees.listing(spark, root).join(there, "path", "full_outer").join(trees.tree_faults(spark, root), "path", "left").select("path", "bytes", "sha256", "read_sha256", "fault")
+
+
 @query(f"""WITH {_SNAPSHOT_SQL} SELECT 'document/' || sha256(id) || '.md' AS path, CASE CAST(id AS BIGINT) % 3 WHEN 0 THEN 'missing' ELSE 'changed' END AS fault FROM r WHERE kind = 'document' AND CAST(id AS BIGINT) % 3 < 2
 UNION ALL SELECT 'passage/' || sha256(id) || '.md', 'unlisted' FROM r WHERE kind = 'passage'""")
 def export_faults(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def test_faults_against_a_plain_validator(spark):
         return {k: v for k, v in out.items() if rng.random() < 0.9} | ({"extra": 1} if rng.random() < 0.05 else {})
     rows = []
     for _ in range(600):
-        record = {"id": "abc-1", "kind": "order", "price": rng.choice([1, 50, 99.5, 2.25, 50, 99.75]), "on": rng.choice([True, False]), "lines": [line() for _ in range(rng.randint(1, 3))]}
+        record = {"id": rng.choice(["abc-1"] * 20 + ["ABC-1", "a"]), "kind": "order", "price": rng.choice([1, 50, 99.5, 2.25, 50, 99.75]), "on": rng.choice([True, False]), "lines": [line() for _ in range(rng.randint(1, 3))]}
         for k in list(record):
             if rng.random() < 0.06:
                 record[k] = rng.choice(odd)
