@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.lineage import cut, fixpoint
+from .packing import could_fit
 from .relational import latest_as_of
 
 #: Classifications from the strongest to the weakest.
@@ -63,8 +64,9 @@ def package(candidates: DataFrame, budget: int, citation_bytes: int) -> DataFram
     """(request, key, used): for each request its candidates (request, place, key, evidence, bytes) in the order of place
     and key, each taken if it and its citations that are not there yet fit the rest of the budget.
 
-    A task reads its requests one row at a time and holds the citations taken so far, which the budget bounds; so the
-    candidates of a hot request are never in memory together. What alone is over the budget is left out before.
+    What alone is over the budget is left out before, and so is what a task's own candidates leave no room for (packing.could_fit:
+    a candidate costs its bytes at least, and those of all its citations at most). The last task of a request reads one row at a time
+    and holds the citations taken so far, which the budget bounds.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,9 +84,10 @@ def package(candidates: DataFrame, budget: int, citation_bytes: int) -> DataFram
                     out.append((request, row[1], used))
             yield pa.RecordBatch.from_pylist([dict(zip(("request", "key", "used"), r)) for r in out], pa.schema([("request", pa.string()), ("key", pa.string()), ("used", pa.int64())]))
 
-    alone = candidates.where(F.col("bytes") + citation_bytes * F.size("evidence") <= budget)
-    ordered = alone.select("request", "place", "key", F.col("evidence").cast("array<string>").alias("evidence"), "bytes").repartition("request").sortWithinPartitions("request", "place", "key")
-    return ordered.drop("place").mapInArrow(run, PACKED)
+    whole = (F.col("bytes") + citation_bytes * F.size("evidence")).cast("long")
+    alone = candidates.where(whole <= budget).select("request", "place", "key", F.col("evidence").cast("array<string>").alias("evidence"), F.col("bytes").cast("long").alias("bytes"), whole.alias("whole"))
+    ordered = could_fit(alone, "request", ["place", "key"], "bytes", "whole", budget).repartition("request").sortWithinPartitions("request", "place", "key")
+    return ordered.drop("place", "whole").mapInArrow(run, PACKED)
 
 
 def assembled(records: DataFrame, closure: DataFrame, reviews: DataFrame, entities: DataFrame, watermark: int) -> DataFrame:

@@ -32,14 +32,68 @@ def budget_prefix(df: DataFrame, request: str, order: str, size: str, budget: in
     return df.sortWithinPartitions(request, order).mapInArrow(prune, df.schema).withColumn("used", running).where(F.col("used") <= budget)
 
 
+class _Sums:
+    """Sums by size of what has come so far (a Fenwick tree); a size beyond the budget is none."""
+
+    def __init__(self, most: int):
+        self.held = [0] * (most + 2)
+
+    def add(self, at: int, n: int) -> None:
+        at += 1
+        while at < len(self.held):
+            self.held[at] += n
+            at += at & -at
+
+    def upto(self, at: int) -> int:
+        total, at = 0, min(at, len(self.held) - 2) + 1
+        while at > 0:
+            total += self.held[at]
+            at -= at & -at
+        return total
+
+
+#: Parts that the rows of a request are dealt to before its last task.
+PARTS = 64
+
+
+def could_fit(df: DataFrame, request: str, order: list[str], least: str, most: str, budget: int) -> DataFrame:
+    """The rows that a greedy packing in order may take; what no task's own rows leave room for goes before the shuffle.
+
+    A row costs `least` at least and `most` at most (whole numbers). If it is taken, all rows of its request before it that cost no
+    more than its `least` were taken too, for they had at least its room. So it cannot be taken if what these cost is over the budget
+    with it, or if one of them cannot be. Of equal sizes s a task keeps budget / s rows, so about budget * log(budget) of a request,
+    however many it has; a second round by (request, part) leaves the last task as many for each of PARTS.
+    """
+    place, low, high = df.columns.index(request), df.columns.index(least), df.columns.index(most)
+
+    def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sums, limit = None, None, budget + 1
+        for batch in batches:
+            keep = []
+            for key, a, b in zip(batch.column(place).to_pylist(), batch.column(low).to_pylist(), batch.column(high).to_pylist(), strict=True):
+                if (key,) != last:
+                    last, sums, limit = (key,), _Sums(budget), budget + 1
+                fits = a is not None and a <= budget and a < limit and sums.upto(a) + a <= budget
+                keep.append(fits)
+                if not fits:
+                    limit = min(limit, b if b is not None else limit)
+                elif b <= budget:
+                    sums.add(b, a)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    pruned = df.sortWithinPartitions(request, *order).mapInArrow(prune, df.schema)
+    part = F.pmod(F.xxhash64(*order), F.lit(PARTS))
+    return pruned.repartition(F.col(request), part).sortWithinPartitions(request, *order).mapInArrow(prune, df.schema)
+
+
 def greedy(df: DataFrame, request: str, order: str, size: str, budget: int) -> DataFrame:
     """For each request: rows in order, each taken if it still fits; smaller ones after a skipped row may fit.
 
-    What is larger than the budget goes before the shuffle. A task reads its requests row by row in their order and holds
-    a running total only, so the rows of a hot request are never in memory together. Sizes only are moved, never texts.
+    Tasks first drop what cannot be taken (could_fit), so that a hot request's last task has a bounded number of rows of each part.
+    It reads its requests row by row in their order and holds a running total only. Sizes only are moved, never texts.
     """
     kinds = dict(df.dtypes)
-    rows = df.select(request, order, size).where(F.col(size) <= budget)
+    rows = could_fit(df.select(request, order, size).where(F.col(size) <= budget), request, [order], size, size, budget)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, used = None, 0
