@@ -153,3 +153,40 @@ def test_work_ends_with_what_is_done(spark):
     got, limits = graph.bounded_paths(frame, 8, 1000, work=20)
     assert "work_limit" in limits
     assert {r.path for r in got.collect()} <= {p for p, *_ in _paths(edges, 8)}
+
+
+def _reaching(nodes, edges, entries):
+    """Definitions by ways: states (node, variable) -> definitions until nothing changes."""
+    reach = _reach(edges, entries)
+    names = {v for _, _, _, uses in nodes for v in uses}
+    held = {(n, v): set() for n in reach for v in names}
+    for e in entries:
+        for v in names:
+            held[e, v].add(-1)
+    moved = True
+    while moved:
+        moved = False
+        for n, barrier, defines, _ in nodes:
+            if n in reach:
+                for v in names:
+                    out = {-1} if barrier else {n} if v in defines else held[n, v]
+                    for a, b in edges:
+                        if a == n and not out <= held[b, v]:
+                            held[b, v] |= out
+                            moved = True
+    return {(n, v): (sorted(held[n, v] - {-1}), bool(held[n, v] - {-1}) and -1 not in held[n, v]) for n, _, _, uses in nodes if n in reach for v in set(uses)}
+
+
+def test_reaching_definitions_against_rounds(spark):
+    rng = random.Random(14)
+    want, rows = {}, []
+    programs = _programs(15, 60)
+    for p, (edges, entries, _) in programs.items():
+        k = 1 + max([n for e in edges for n in e] + entries)
+        nodes = [(n, rng.random() < 0.15, [v for v in "abc" if rng.random() < 0.25], [v for v in "abcd" if rng.random() < 0.3]) for n in range(k)]
+        rows += [(p, *n) for n in nodes]
+        want |= {(p, *key): value for key, value in _reaching(nodes, edges, entries).items()}
+    frame = spark.createDataFrame(rows, "artifact string, node long, barrier boolean, defines array<string>, uses array<string>")
+    edges, entries, _ = _frames(spark, programs)
+    got = {(r.artifact, r.node, r.variable): (r.definitions, r.definite) for r in flow.reaching(frame, edges, entries.distinct()).collect()}
+    assert got == want and any(d for _, d in want.values())
