@@ -33,3 +33,38 @@ def test_counts_and_duplicates(spark, tmp_path):
     assert got.groupBy("start", "event_type").agg(F.max("n").alias("n")).agg(F.sum("n")).first()[0] == events.count()
     doubled = _run(spark, reviews.once_each(stream.union(stream), "event_id", "ts", "100000 days"), "append", "once", tmp_path)
     assert doubled.count() == events.count()
+
+
+def test_decisions_take_effect_in_their_order(spark):
+    import random
+    import tempfile
+
+    from loreforge.streaming import reviews
+
+    rng = random.Random(5)
+    rows, want = [], []
+    for subject in "abcde":
+        head, status = None, "pending_review"
+        for ordinal in range(12):
+            decision, supported = rng.choice(["approve", "approve", "reject", "correct"]), rng.random() < 0.8
+            expected, revision = head if rng.random() < 0.75 else "other", f"{subject}{ordinal}"
+            rows.append((subject, ordinal, decision, expected, revision, supported))
+            if expected != head:
+                outcome = "STALE"
+            elif decision == "approve" and not supported:
+                outcome = "UNSUPPORTED"
+            elif decision == "approve" and status == "rejected":
+                outcome = "REJECTED"
+            else:
+                outcome, head, status = "accepted", revision, {"approve": "verified", "reject": "rejected"}.get(decision, "pending_review")
+            want.append((subject, ordinal, decision, outcome, status))
+    rng.shuffle(rows)  # they come in any order, and some twice
+    schema = "subject string, ordinal long, decision string, expected string, revision string, supported boolean"
+    folder = tempfile.mkdtemp(prefix="spark-")
+    for part in (rows[:25], rows[20:45], rows[45:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(folder)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    query = reviews.decided(stream).writeStream.format("memory").queryName("decided").outputMode("append").option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    assert sorted(map(tuple, spark.table("decided").collect())) == sorted(want)
+    assert {o for *_, o, _ in want} == {"STALE", "UNSUPPORTED", "REJECTED", "accepted"}
