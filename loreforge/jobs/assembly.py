@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import assembly, graph
+from ..operators import assembly, graph, packing
 from ..sources.tables import table
 from .registry import Registry
 
@@ -80,6 +80,17 @@ def context_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assembly.package(candidates, 20_000, 120)
 
 
+@query(None)
+def serialised_packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of a source and language as facts of one request, packed into 20,000 bytes of JSON with 1,000 in reserve; each cites
+    its own length, and the label of one that has one."""
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("/", "source", "lang").alias("request"), "doc_id", "text", "n_chars").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    cites = F.array(F.struct(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("id"), F.col("n_chars").cast("string").alias("record")), F.struct(F.when(F.col("quality").isNotNull(), F.concat(F.lit("q"), F.col("quality").cast("string"))).alias("id"), F.lit("label").alias("record")))
+    candidates = docs.select("request", F.lit(0).alias("place"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("id"), F.coalesce("text", F.lit("")).alias("fact"), F.filter(cites, lambda c: c["id"].isNotNull()).alias("evidence"), F.when(F.col("quality") == 1, "observed").otherwise("inferred").alias("classification"))
+    requests = docs.groupBy("request").agg(F.array(F.concat(F.lit("n"), F.min("doc_id").cast("string")), F.lit("q1")).alias("asked")).withColumn("notes", F.array(F.lit("Sources are not verified.")))
+    return packing.serialised(requests, candidates, 20_000, 1_000).select("request", "used", "facts", "omitted", F.sha2("package", 256).alias("package_sha256"), "fault")
+
+
 @query(f"""WITH {_EVIDENCE_SQL}, latest AS (SELECT DISTINCT ON (l_orderkey) l_orderkey AS id, l_returnflag AS flag FROM (SELECT l_orderkey, l_linenumber, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) WHERE l_linenumber <= 4 ORDER BY l_orderkey, l_linenumber DESC),
 r AS (SELECT o_custkey AS entity, coalesce(flag = 'A', false) AS verified, coalesce(complete, true) AS complete, coalesce(evidence, []) AS evidence FROM orders LEFT JOIN latest ON id = o_orderkey LEFT JOIN items ON item = o_orderkey)
 SELECT c_custkey AS entity, count(r.entity) AS records, count(*) FILTER (verified) AS verified, coalesce(bool_and(complete), true) AS complete, CAST(len(list_distinct(coalesce(flatten(list(evidence)), []))) AS BIGINT) AS evidence FROM customer LEFT JOIN r ON r.entity = c_custkey GROUP BY c_custkey""")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def budget_prefix(df: DataFrame, request: str, order: str, size: str, budget: int) -> DataFrame:
@@ -108,3 +110,102 @@ def greedy(df: DataFrame, request: str, order: str, size: str, budget: int) -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(totals, pa.int64())], names=[request, order, size, "used"]).filter(pa.array(keep, pa.bool_()))
 
     return rows.repartition(request).sortWithinPartitions(request, order).mapInArrow(run, f"{request} {kinds[request]}, {order} {kinds[order]}, {size} {kinds[size]}, used long")
+
+
+PACKAGES = "request string, package string, used long, reserved long, facts int, omitted int, fault string"
+
+
+def _canonical(value) -> bytes:
+    """JSON with sorted keys and without gaps, in UTF-8; the parts of a package have ASCII keys, so their order is that of UTF-16 too."""
+    return json.dumps(value, ensure_ascii=False, separators=(",", ":"), sort_keys=True).encode()
+
+
+def _chunk(ident: str, fact: str, evidence: list[dict], cited: set[str], classification: str) -> bytes:
+    """A fact as it stands in a package: its text holds the fact and the records of evidence that nothing before it has cited."""
+    text = _canonical({"citations": [{"evidence_id": e["id"], "record": e["record"]} for e in evidence if e["id"] not in cited], "fact": fact, "trust": "untrusted_source_data"})
+    return _canonical({"chunk_id": ident, "classification": classification, "evidence_ids": [e["id"] for e in evidence], "text": text.decode(), "token_count": len(text)})
+
+
+def serialised(requests: DataFrame, candidates: DataFrame, budget: int, reserve: int) -> DataFrame:
+    """PACKAGES: the package of each request (request, asked: the evidence ids that it is about, notes) from its candidates (request, place,
+    id, fact, evidence: array of (id, record), classification), as canonical JSON whose UTF-8 bytes, all of it counted, stay within
+    budget - reserve.
+
+    Candidates come in the order of place and id. One is taken if the whole package with it fits: its own text, the records of evidence that
+    is cited for the first time, the list of what is asked but not cited, which gets shorter, the number of facts left out, and the count
+    of bytes itself, which is part of what it counts. A request whose empty package is over the budget has the fault
+    CONTEXT_BUDGET_EXCEEDED and none; one without candidates has an empty package.
+
+    Sizes are added up, so a candidate costs its own bytes and no new serialisation of the package. A task holds one request's package,
+    which the budget bounds; what cannot be taken goes before the shuffle (could_fit: a candidate costs at least its fact, at most all).
+    """
+    most = budget - reserve
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = [], []
+            for ident, fact, evidence, classification in zip(*(batch.column(i).to_pylist() for i in range(2, 6)), strict=True):
+                known = {e["id"] for e in evidence}
+                gone = sum(len(_canonical(e)) + 1 for e in known)  # at most so many bytes leave the list of what is not cited
+                low.append(max(0, len(_chunk(ident, fact, evidence, known, classification)) - gone))
+                high.append(len(_chunk(ident, fact, evidence, set(), classification)) + 40)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=[*batch.schema.names, "low", "high"])
+
+    evidence = F.array_sort(F.transform("evidence", lambda e: F.struct(e["id"].cast("string").alias("id"), e["record"].cast("string").alias("record"))))
+    told = candidates.select(F.col("request").cast("string").alias("request"), F.col("place").cast("long").alias("place"), F.col("id").cast("string").alias("id"), "fact", evidence.alias("evidence"), "classification")
+    rows = told.mapInArrow(sized, T.StructType([*told.schema.fields, T.StructField("low", T.LongType()), T.StructField("high", T.LongType())]))
+    counts = told.groupBy("request").agg(F.count("*").alias("n"))
+    fitting = could_fit(rows, "request", ["place", "id"], "low", "high", max(0, most)).drop("low", "high")
+    heads = requests.select(F.col("request").cast("string").alias("request"), F.array_sort(F.array_distinct(F.col("asked").cast("array<string>"))).alias("asked"), "notes").join(counts, "request", "left")
+    both = heads.withColumn("place", F.lit(-(1 << 62)).cast("long")).unionByName(fitting, allowMissingColumns=True).select("request", "place", "id", "fact", "evidence", "classification", "asked", "notes", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["request", "package", "used", "reserved", "facts", "omitted", "fault"]
+        schema = pa.schema([("request", pa.string()), ("package", pa.string()), ("used", pa.int64()), ("reserved", pa.int64()), ("facts", pa.int32()), ("omitted", pa.int32()), ("fault", pa.string())])
+        head, chunks, size, cited = None, [], 0, set()
+
+        def envelope(taken: int, open_ids: list[str], used: int) -> dict:
+            return {"budget": {"count_method": "utf8_bytes", "max": budget, "reserved": reserve, "used": used}, "chunks": [], "limitations": [*(head["notes"] or []), f"{(head['n'] or 0) - taken} retrieved facts omitted."], "omitted_evidence_ids": open_ids, "request": head["request"]}
+
+        def counted(fixed: int) -> int:
+            """The bytes of a package whose count of them is a part of it (one digit stands in `fixed`)."""
+            used = fixed
+            while (now := fixed - 1 + len(str(used))) != used:
+                used = now
+            return used
+
+        def whole(more: int, ids: set[str], taken: int) -> int:
+            # Omitted facts are counted as in the package so far: those after this one are not known yet, and count when it is closed.
+            return counted(len(_canonical(envelope(taken, [a for a in head["asked"] if a not in ids], 0))) + size + more + max(0, taken - 1))
+
+        def close() -> list:
+            taken = len(chunks)
+            used = whole(0, cited, taken)
+            if used > most:
+                return [head["request"], None, None, reserve, 0, head["n"] or 0, "CONTEXT_BUDGET_EXCEEDED"]
+            body = envelope(taken, [a for a in head["asked"] if a not in cited], used)
+            text = _canonical(body).replace(b'"chunks":[]', b'"chunks":[' + b",".join(chunks) + b"]", 1)
+            return [head["request"], text.decode(), used, reserve, taken, (head["n"] or 0) - taken, None]
+
+        out: list[list] = []
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["asked"] is not None:
+                    if head:
+                        out.append(close())
+                    head, chunks, size, cited = row, [], 0, set()
+                    continue
+                if not head or row["request"] != head["request"]:
+                    continue  # candidates of a request that nobody made
+                chunk = _chunk(row["id"], row["fact"], row["evidence"], cited, row["classification"])
+                ids = cited | {e["id"] for e in row["evidence"]}
+                if whole(len(chunk), ids, len(chunks) + 1) <= most:
+                    chunks.append(chunk)
+                    size, cited = size + len(chunk), ids
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema)
+                out = []
+        if head:
+            yield pa.RecordBatch.from_pylist([dict(zip(names, close(), strict=True))], schema)
+
+    return both.repartition("request").sortWithinPartitions("request", "place", "id").mapInArrow(run, PACKAGES)
