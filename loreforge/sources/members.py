@@ -19,7 +19,7 @@ MEMBER_BYTES, RATIO = 16 << 20, 1000
 ENCODINGS = {
     "utf8": "utf-8", "utf-8": "utf-8", "ccsid:1208": "utf-8", "ascii": "ascii", "us-ascii": "ascii", "ccsid:367": "ascii",
     "utf16le": "utf-16-le", "utf-16le": "utf-16-le", "utf-16-le": "utf-16-le", "utf16be": "utf-16-be", "utf-16be": "utf-16-be", "utf-16-be": "utf-16-be", "ccsid:1200": "utf-16-be",
-    "cp037": "cp037", "ccsid:37": "cp037", "ibm037": "cp037", "cp500": "cp500", "ccsid:500": "cp500", "ibm500": "cp500",
+    "ccsid:37": "cp037", "cp037": "cp037", "ccsid:500": "cp500", "cp500": "cp500", "ibm037": "cp037", "ibm500": "cp500",
 }
 # Columns of a data description line, from 0, the end excluded.
 COLUMNS = {"form": (5, 6), "indicators": (6, 16), "specification": (16, 17), "name": (18, 28), "reference": (28, 29), "length": (29, 34), "datatype": (34, 35), "decimals": (35, 37), "usage": (37, 38), "line": (38, 41), "column": (41, 44), "functions": (44, 80)}
