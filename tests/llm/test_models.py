@@ -201,6 +201,48 @@ def test_suffix_tree(tables, monkeypatch, share):
         assert sum(r.score for i, r in rows.items() if held[i] == fold) > sum(r.base_score for i, r in rows.items() if held[i] == fold)
 
 
+@pytest.mark.parametrize("share", [1e-7, 3e-5])
+def test_suffix_tree_of_more_pairs_than_are_broadcast_loses_none(spark, tables, monkeypatch, share):
+    monkeypatch.setattr(suffix_tree, "FREQUENT_SHARE", share)
+    docs = tables[0].select("doc_id", "text").union(spark.createDataFrame(ROWS, ODD).select("doc_id", "text"))
+    whole, shuffled = [], []
+    for most, out in ((10**9, whole), (500, shuffled)):
+        monkeypatch.setattr(suffix_tree, "MAX_PAIRS", most)
+        out += sorted(suffix_tree.score_documents(docs).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
+    assert len(whole) == len(shuffled) == docs.count()
+    for a, b in zip(whole, shuffled, strict=True):
+        assert a[:5] == b[:5] and math.isclose(a.base_score, b.base_score, rel_tol=1e-9) and math.isclose(a.score, b.score, rel_tol=3e-4), (a, b)
+    assert math.isclose(sum(r.score for r in whole), sum(r.score for r in shuffled), rel_tol=1e-5)
+
+
+def test_blocks_of_texts_do_not_hang_on_how_rows_are_batched(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_tree, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(suffix_tree, "CHUNK_BYTES", 1000)
+    texts, bits = _texts() * 3, suffix_tree.PART_BITS
+    at = [(1 << 33) * (k // 40) + k % 40 for k in range(len(texts))]
+    batch = pa.RecordBatch.from_arrays([pa.array(at), pa.array(range(len(texts))), pa.array([k % 3 == 0 for k in range(len(texts))]), pa.array(texts)], names=["at", "doc_id", "held_out", "text"])
+    blocks = [[block[:4] for block in suffix_tree._blocks(suffix_tree._doc_rows(some))] for some in ([batch], [batch.slice(k, 7) for k in range(0, len(texts), 7)])]
+    assert blocks[0] == blocks[1] and len({b[:2] for b in blocks[0]}) > 6 and sorted(i for *_, ids in blocks[0] for i in ids) == list(range(len(texts)))
+    asked = sorted((r for b in suffix_tree._asked([batch], bits) for r in b.to_pylist()), key=lambda r: r["part"])
+    keys = suffix_tree.Chunk([t for k, t in enumerate(texts) if k % 3]).keys
+    short = suffix_tree.Short(*suffix_tree._sums(keys & suffix_tree._mask(2), np.ones(len(keys), np.int64)))
+    answers = {}
+    for b in suffix_tree._answered([pa.RecordBatch.from_pylist(asked)], short):
+        for r in b.to_pylist():
+            answers.setdefault((r["task"], r["block"]), []).append((r["part"], r["n"], r["data"]))
+    chance = {}
+    for t, n, *_, mine in suffix_tree._blocks(suffix_tree._doc_rows([batch])):
+        chunks = [suffix_tree.Chunk(mine[some]) for some in suffix_tree._cut(mine)]
+        keys = [chunk.keys for chunk in chunks]
+        for some, found in zip(keys, suffix_tree._spelled(chunks, answers[t, n], bits), strict=True):
+            for key, x in zip(some.tolist(), found.tolist(), strict=True):
+                assert x < 0 and chance.setdefault(key, x) == x
+    with pytest.raises(RuntimeError):
+        next(suffix_tree._spelled([suffix_tree.Chunk(mine)], [], bits))
+
+
 def _texts():
     rng = np.random.default_rng(3)
     return [" ".join("".join(rng.choice(list("abc"), 3)) for _ in range(200)).encode() for _ in range(20)] + [b"\xff\xfe high bytes \xf0\x9f\x98\x80" * 5, b"the same passage again and again " * 9]
