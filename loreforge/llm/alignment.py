@@ -24,7 +24,7 @@ SHARD_PAIRS, SPREAD, LEVELS = 1 << 14, 2, 40
 #: Pairs that are broadcast at a time (8 bytes each and a bit): more of them are looked up in further passes over the texts.
 MAX_PAIRS = 8_000_000
 #: Units that a worker keeps aligned, and their bytes; it then starts anew, which costs time and changes no result.
-CACHE_UNITS, CACHE_BYTES = 600_000, 32 << 20
+CACHE_UNITS, CACHE_BYTES = 1_200_000, 32 << 20
 #: Characters of a text that are cut into units at a time.
 PART = 1 << 20
 #: Pairs of a task before they are summed up; groups of tasks whose vectors are summed first.
@@ -146,7 +146,7 @@ class _Grown:
 
     def add(self, more: np.ndarray) -> None:
         if self.n + len(more) > len(self.held):
-            self.held = np.concatenate([self.held, np.zeros(max(len(self.held), len(more)), self.held.dtype)])
+            self.held = np.concatenate([self.held, np.zeros(max(len(self.held) // 4, len(more)), self.held.dtype)])
         self.held[self.n : self.n + len(more)] = more
         self.n += len(more)
 
@@ -179,7 +179,7 @@ class Units:
         self.names: list[str] = []
 
     def learn(self, units: set[str]) -> None:
-        new = [u for u in units if u not in self.known]
+        new = list(units.difference(self.known))
         if not new:
             return
         new, a, b, size_a, size_b, good = self.pair.encode(new)
@@ -535,8 +535,8 @@ class PairCounts:
         return rows, {s: _unpacked(c[8:], int.from_bytes(c[:8], "little")).tobytes() for s, c in counts.items()}, self.bits, self.highest
 
 
-def _looked_up(docs: DataFrame, paths: tuple[str, str], at, name: str) -> DataFrame:
-    """ALIGNED of each document, with the counts of one block of shards."""
+def _looked_up(docs: DataFrame, paths: tuple[str, str], at, name: str, digests_too: bool) -> DataFrame:
+    """ALIGNED of each document, with the counts of one block of shards, and its text's digest where that is asked for."""
 
     def run(batches):
         units = Units.of(name, paths, lambda: Counts(*at.value))
@@ -556,7 +556,7 @@ def _looked_up(docs: DataFrame, paths: tuple[str, str], at, name: str) -> DataFr
                 begun[k] = True
             for n in NUMBERS:
                 out[n][~good] = 0
-            yield common.to_batch(ALIGNED, {"doc_id": ids, **out, "groups_sha256": [d.hexdigest() if g else "" for d, g in zip(digests, good.tolist(), strict=True)], "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in texts]})
+            yield common.to_batch(ALIGNED, {"doc_id": ids, **out, "groups_sha256": [d.hexdigest() if g else "" for d, g in zip(digests, good.tolist(), strict=True)], "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if digests_too else None for t in texts]})
 
     return docs.select("doc_id", "text").mapInArrow(run, ALIGNED)
 
@@ -572,7 +572,7 @@ def align(docs: DataFrame, a_path: str, b_path: str, max_pairs: int = MAX_PAIRS)
     paths = (a_path, b_path)
     counts = PairCounts(docs, paths, max_pairs)
     context = docs.sparkSession.sparkContext
-    passes = [_looked_up(docs, paths, context.broadcast(counts.block(b)), f"{counts.shards.settled_at} {k}").withColumn("block", F.lit(k)) for k, b in enumerate(counts.blocks)]
+    passes = [_looked_up(docs, paths, context.broadcast(counts.block(b)), f"{counts.shards.settled_at} {k}", len(counts.blocks) > 1).withColumn("block", F.lit(k)) for k, b in enumerate(counts.blocks)]
     if len(passes) == 1:
         return passes[0].drop("text_sha256", "block")
     both = passes[0]

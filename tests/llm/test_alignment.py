@@ -135,3 +135,21 @@ def test_shards_are_the_same_in_spark(spark):
     keys = np.random.default_rng(6).integers(0, 1 << 31, 1000)
     got = spark.createDataFrame([(int(k),) for k in keys], "pair long").select("pair", al._shard_column(7).alias("s")).collect()
     assert all(r.s == al._shard(np.array([r.pair]), 7)[0] for r in got)
+
+
+def test_a_worker_keeps_the_units_of_some_tasks():
+    class Plain:
+        a_size = b_size = np.ones(1, np.int64)
+        met = 0
+
+        def encode(self, units):
+            self.met += len(units)
+            one = np.ones(len(units), np.int64)
+            return list(units), one * 0, one * 0, one, one, one == 1
+
+    units = al.Units(Plain())
+    for _ in range(2):
+        for at in range(0, 1_100_000, 50_000):
+            units._room()
+            units.learn({f"u{k}" for k in range(at, at + 50_000)})
+    assert units.pair.met == 1_100_000
