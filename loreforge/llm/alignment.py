@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ HELD_PAIRS, FAN_IN = 2_000_000, 32
 
 #: Both tokenizers end a token before a space between two signs: a unit is what stands between two such spaces.
 _CUT = re.compile(r"(?<=\S) (?=\S)")
+#: A space beside white space: among units between spaces, one that is empty or has white space at its edge.
+_EDGE = re.compile(r" \s|\s ")
 
 PAIRS = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
 SHARDS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("pairs", T.BinaryType())])
@@ -218,7 +221,10 @@ class Units:
         they are the last of the text. What is known may start anew between two of them."""
         for at in range(0, len(texts), 64):
             some = texts[at : at + 64]
-            if sum(map(len, some)) <= PART:
+            if sum(map(len, some)) <= PART and (found := self._plain(some)) is not None:
+                for k, own in enumerate(found):
+                    yield at + k, own, True
+            elif sum(map(len, some)) <= PART:
                 cut = [next(self.pair.units(t)) for t in some]
                 self._room()
                 self.learn(set().union(*cut))
@@ -235,6 +241,23 @@ class Units:
                         waiting = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
                     yield at + k, waiting, True
 
+    def _plain(self, texts: list[str]) -> list[np.ndarray] | None:
+        """The units of each text if all its spaces stand between two signs: each distinct unit is looked up once."""
+        try:
+            cut = pc.split_pattern(pa.array(texts, pa.string()), " ") if self.pair.cuts else None
+        except UnicodeEncodeError:
+            return None
+        if cut is None:
+            return None
+        coded = cut.values.dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        if _EDGE.search(f" {' '.join(distinct)} "):
+            return None
+        self._room()
+        self.learn(set(distinct))
+        ids = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
+        return np.split(ids, cut.offsets.to_numpy()[1:-1])
+
     def _room(self) -> None:
         if len(self.known) > CACHE_UNITS or self.bytes > CACHE_BYTES:
             self.clear()

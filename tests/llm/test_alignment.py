@@ -153,3 +153,15 @@ def test_a_worker_keeps_the_units_of_some_tasks():
             units._room()
             units.learn({f"u{k}" for k in range(at, at + 50_000)})
     assert units.pair.met == 1_100_000
+
+
+def test_plain_texts_have_the_units_of_the_pattern(pair):
+    rng = random.Random(5)
+    units = al.Units(pair)
+    for _ in range(200):
+        texts = ["".join(rng.choice([" ", "a", "bc", "é", "\n", *([" "] * (rng.random() < 0.3)), "　", "\x1f"][: rng.choice([4, 5, 8])]) for _ in range(rng.randint(1, 12))) for _ in range(rng.randint(1, 3))]
+        found = units._plain(texts)
+        names = {i: u for u, i in units.known.items()}
+        if found is not None:
+            assert [[names[i] for i in own.tolist()] for own in found] == [next(pair.units(t)) for t in texts]
+    assert units._plain(["one two", "two three"]) is not None and units._plain(["one  two"]) is None and units._plain(["a\ud800"]) is None
