@@ -208,6 +208,7 @@ def test_suffix_tree_of_more_pairs_than_are_broadcast_loses_none(spark, tables,
     whole, shuffled = [], []
     for most, out in ((10**9, whole), (500, shuffled)):
         monkeypatch.setattr(suffix_tree, "MAX_PAIRS", most)
+        monkeypatch.setattr(suffix_tree.grow, "__defaults__", (most,))
         out += sorted(suffix_tree.score_documents(docs).collect(), key=lambda r: (str(r.doc_id), r.n_tokens))
     assert len(whole) == len(shuffled) == docs.count()
     for a, b in zip(whole, shuffled, strict=True):
