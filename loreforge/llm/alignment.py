@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ from .tokens import tokenizer_path
 B_BITS = 15
 #: Pairs of a shard of the hash, on average; bits for each pair of a level, and levels at most (keys beyond them are listed).
 SHARD_PAIRS, SPREAD, LEVELS = 1 << 14, 2, 40
-#: Pairs that are broadcast at a time (8 bytes each and a bit): more of them are looked up in further passes over the texts.
+#: Pairs that are broadcast at a time (8 bytes each and a bit): more of them are looked up in further passes over the documents' pairs.
 MAX_PAIRS = 8_000_000
 #: Units that a worker keeps aligned, and their bytes; it then starts anew, which costs time and changes no result.
 CACHE_UNITS, CACHE_BYTES = 1_200_000, 32 << 20
@@ -39,8 +39,10 @@ _EDGE = re.compile(r" \s|\s ")
 PAIRS = T.StructType([T.StructField("pair", T.LongType()), T.StructField("n", T.LongType())])
 SHARDS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("sizes", T.BinaryType()), T.StructField("bits", T.BinaryType()), T.StructField("pairs", T.BinaryType())])
 VECTORS = T.StructType([T.StructField("shard", T.LongType()), T.StructField("part", T.LongType()), T.StructField("counts", T.BinaryType())])
-NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-ALIGNED = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, T.LongType()) for n in NUMBERS] + [T.StructField("groups_sha256", T.StringType()), T.StructField("text_sha256", T.StringType())])
+#: What a document's text alone gives, and what the counts of all documents give.
+OWN, COUNTED = ("n_a", "n_b", "n_groups", "n_links"), ("n_best", "count_sum")
+ENCODED = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, T.LongType()) for n in OWN] + [T.StructField("groups_sha256", T.StringType()), T.StructField("pairs", T.BinaryType()), T.StructField("times", T.BinaryType())])
+ALIGNED = T.StructType([T.StructField("doc_id", T.LongType())] + [T.StructField(n, T.LongType()) for n in (*OWN, *COUNTED)] + [T.StructField("groups_sha256", T.StringType())])
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -142,12 +144,14 @@ def links(a: np.ndarray, group_a: np.ndarray, b: np.ndarray, group_b: np.ndarray
 
 
 class _Grown:
-    """An array that grows at its end."""
+    """An array that grows at its end, and to 64 bits where a number needs them."""
 
     def __init__(self, dtype):
         self.held, self.n = np.zeros(1024, dtype), 0
 
     def add(self, more: np.ndarray) -> None:
+        if self.held.dtype == np.int32 and more.max(initial=0) >> 31:
+            self.held = self.held.astype(np.int64)
         if self.n + len(more) > len(self.held):
             self.held = np.concatenate([self.held, np.zeros(max(len(self.held) // 4, len(more)), self.held.dtype)])
         self.held[self.n : self.n + len(more)] = more
@@ -155,29 +159,32 @@ class _Grown:
 
 
 class Units:
-    """What a worker knows of each unit it has met. model: the counts to look up, or None while they are gathered."""
+    """What a worker knows of each unit it has met. named: whether it keeps the ids of the unit's groups as text, too."""
 
     _last: tuple = (None, None)
 
-    def __init__(self, pair: Pair, model=None):
-        self.pair, self.model = pair, model
-        if model is not None:
-            self.signs = [np.array([f"{k}{c}" for k in range(n)], object) for n, c in ((len(pair.a_bytes), ","), (len(pair.a_bytes), "|"), (len(pair.b_bytes), ","), (len(pair.b_bytes), ";"))]
+    def __init__(self, pair: Pair, named=False):
+        self.pair = pair
+        self.signs = [np.array([f"{k}{c}" for k in range(n)], object) for n, c in ((len(pair.a_bytes), ","), (len(pair.a_bytes), "|"), (len(pair.b_bytes), ","), (len(pair.b_bytes), ";"))] if named else None
         self.clear()
 
     @classmethod
-    def of(cls, name: str, paths: tuple[str, str], model) -> Units:
-        """The worker's, kept from task to task of one job."""
-        if cls._last[0] != name:
-            pair = cls._last[1].pair if cls._last[1] else Pair(*paths)
-            cls._last = name, cls(pair, model() if model else None)
+    def of(cls, paths: tuple[str, str]) -> Units:
+        """The worker's, kept from task to task."""
+        if cls._last[0] != paths:
+            cls._last = paths, cls(Pair(*paths), named=True)
         return cls._last[1]
 
+    @classmethod
+    def leave(cls) -> None:
+        """Frees the worker's, whose texts are done with."""
+        cls._last = (None, None)
+
     def clear(self) -> None:
         self.known: dict[str, int] = {}
         self.bytes = 0
-        self.numbers = {n: _Grown(np.int64) for n in NUMBERS}
-        self.good, self.begin, self.pairs = _Grown(bool), _Grown(np.int64), _Grown(np.int32)
+        self.numbers = {n: _Grown(np.int32) for n in OWN}
+        self.good, self.begin, self.pairs, self.times = _Grown(bool), _Grown(np.int32), _Grown(np.int32), _Grown(np.int32)
         self.begin.add(np.zeros(1, np.int64))
         self.names: list[str] = []
 
@@ -197,18 +204,15 @@ class Units:
         of, pairs, times = links(a, group_a, b, group_b, groups)
         unit = unit_of[of]
         n = len(new)
+        edges = np.searchsorted(unit, np.arange(n + 1))
         self.good.add(good)
-        found = {"n_a": size_a, "n_b": size_b, "n_groups": np.bincount(unit_of, minlength=n)}
-        if self.model is None:
-            self.pairs.add(pairs)
-            self.begin.add(self.begin.held[self.begin.n - 1] + np.cumsum(np.bincount(unit, minlength=n)))
+        for name, found in zip(OWN, (size_a, size_b, np.bincount(unit_of, minlength=n), _stretches(times, edges)), strict=True):
+            self.numbers[name].add(found)
+        self.pairs.add(pairs)
+        self.times.add(times)
+        self.begin.add(int(self.begin.held[self.begin.n - 1]) + edges[1:])
+        if self.signs is None:
             return
-        count, best = self.model.look_up(pairs)
-        whole = lambda x: np.concatenate([[0], np.cumsum(x)])
-        edges = np.searchsorted(unit, np.arange(n + 1))
-        found |= {"n_links": times, "n_best": times * best, "count_sum": times * count}
-        for name in NUMBERS:
-            self.numbers[name].add(np.diff(whole(found[name])[edges]) if name in NUMBERS[3:] else found[name])
         # The ids of each group as text, A's before B's; a group's last id ends with ';', which goes at the end of a unit.
         last_a, last_b = (np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool) for g in (group_a, group_b))
         text = np.concatenate([np.where(last_a, self.signs[1][a], self.signs[0][a]), np.where(last_b, self.signs[3][b], self.signs[2][b])])
@@ -258,11 +262,24 @@ class Units:
         ids = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))[coded.indices.to_numpy()]
         return np.split(ids, cut.offsets.to_numpy()[1:-1])
 
+    def linked(self, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The pairs of a text's units, and how many occurrences of them are linked there; a pair may come again."""
+        own, repeats = np.unique(own, return_counts=True)
+        begin = self.begin.held[own]
+        n = self.begin.held[own + 1] - begin
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return self.pairs.held[at], self.times.held[at] * np.repeat(repeats, n)
+
     def _room(self) -> None:
         if len(self.known) > CACHE_UNITS or self.bytes > CACHE_BYTES:
             self.clear()
 
 
+def _stretches(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The sum of each stretch between two edges."""
+    return np.diff(np.concatenate([[0], np.cumsum(x)])[edges])
+
+
 def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     if not held:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -272,30 +289,70 @@ def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return pairs, n
 
 
-def linked_pairs(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
-    """pair and n: of each task's linked pairs, how many of its documents hold them."""
+def encoded(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
+    """ENCODED of each document: what its text gives, its distinct pairs, and how many occurrences of each are linked."""
 
     def run(batches):
-        units = Units.of(f"pairs {paths}", paths, None)
-        held, size = [], 0
+        units = Units.of(paths)
         for batch in common.slices(batches):
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            own: list[np.ndarray] = []
-            good = True
-            docs_pairs = []
-            for _, ids, ended in units.ids(texts):
-                ids = np.unique(ids)
-                good &= bool(units.good.held[ids].all())
-                begin, end = units.begin.held[ids], units.begin.held[ids + 1]
-                n = end - begin
-                own.append(units.pairs.held[np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())])
+            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            out = {n: np.zeros(len(texts), np.int64) for n in OWN}
+            digests, pairs, times = [""] * len(texts), [b""] * len(texts), [b""] * len(texts)
+            held = [k for k, t in enumerate(texts) if t]
+            good, digest, linked = True, None, []
+            for k, own, ended in units.ids([texts[k] for k in held]):
+                k = held[k]
+                good &= bool(units.good.held[own].all())
+                if good:
+                    for n in OWN:
+                        out[n][k] += units.numbers[n].held[own].sum()
+                    names = ";".join([units.names[i] for i in own.tolist()]).encode()
+                    if digest is None:
+                        digest = hashlib.sha256(names)
+                    else:
+                        digest.update(b";" + names)
+                    linked.append(units.linked(own))
+                if len(linked) > 1 or linked and ended:
+                    linked = [_summed(linked)]
                 if ended:
                     if good:
-                        docs_pairs.append(np.unique(np.concatenate(own)))
-                    own, good = [], True
-            if docs_pairs:
-                held.append(np.unique(np.concatenate(docs_pairs).astype(np.int64), return_counts=True))
-                size += len(held[-1][0])
+                        digests[k], pairs[k], times[k] = digest.hexdigest(), linked[0][0].tobytes(), _narrow(linked[0][1])
+                    else:
+                        for n in OWN:
+                            out[n][k] = 0
+                    good, digest, linked = True, None, []
+            yield common.to_batch(ENCODED, {"doc_id": ids, **out, "groups_sha256": digests, "pairs": pairs, "times": times})
+
+    return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers of no more bytes than the largest needs."""
+    return x.astype(np.min_scalar_type(x.max(initial=0))).tobytes()
+
+
+def _pairs_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of some documents, and where each document's begin, and the last's end."""
+    held = [np.frombuffer(x, np.int32) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, np.int32), *held]), np.cumsum([0, *map(len, held)])
+
+
+def _times_of(column: pa.Array, edges: np.ndarray) -> np.ndarray:
+    """The numbers of the documents' pairs, of as many bytes as there are for each."""
+    sizes = np.diff(edges).tolist()
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, f"u{len(x) // n}") for x, n in zip(column.to_pylist(), sizes, strict=True) if n)], dtype=np.int64, casting="unsafe")
+
+
+def linked_pairs(documents: DataFrame) -> DataFrame:
+    """pair and n: of each task's linked pairs, how many of its documents (rows of ENCODED) hold them."""
+
+    def run(batches):
+        Units.leave()
+        held, size = [], 0
+        for batch in common.slices(batches):
+            pairs, n = np.unique(_pairs_of(batch.column(0))[0], return_counts=True)
+            held.append((pairs.astype(np.int64), n))
+            size += len(pairs)
             if size > HELD_PAIRS:
                 held = [_summed(held)]
                 size = len(held[0][0])
@@ -306,7 +363,7 @@ def linked_pairs(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         for at in range(0, len(pairs), 1 << 16):
             yield pa.RecordBatch.from_arrays([pa.array(x[at : at + (1 << 16)]) for x in (pairs, n)], names=PAIRS.names)
 
-    return docs.select("text").mapInArrow(run, PAIRS)
+    return documents.select("pairs").mapInArrow(run, PAIRS)
 
 
 def _mixed(x: np.ndarray, level: int) -> np.ndarray:
@@ -407,6 +464,16 @@ class Hash:
 class Counts:
     """A hash, the vector of its pairs' counts, and the highest count of each A id."""
 
+    _last: tuple = (None, None)
+
+    @classmethod
+    def of(cls, name: str, parts: Callable[[], tuple]) -> Counts:
+        """The worker's, kept from task to task of one pass."""
+        if cls._last[0] != name:
+            cls._last = (None, None)
+            cls._last = name, cls(*parts())
+        return cls._last[1]
+
     def __init__(self, shards: list[dict], counts: dict[int, bytes], bits: int, highest: np.ndarray):
         self.hash, self.highest = Hash(shards, bits), highest
         self.counts = np.concatenate([np.frombuffer(counts[s["shard"]], np.int64) for s in sorted(shards, key=lambda s: s["shard"])] or [np.zeros(0, np.int64)])
@@ -535,11 +602,13 @@ def _highest(shards: DataFrame, vectors: DataFrame) -> np.ndarray:
 class PairCounts:
     """The corpus's linked pairs and how many documents hold each: shards of the hash and their vectors, as tables.
 
-    pairs: how many there are. bits: of the shard numbers. blocks: shards that are looked up together.
+    documents: rows of ENCODED and a number of each. pairs: how many there are. bits: of the shard numbers. blocks: shards that
+    are looked up together.
     """
 
     def __init__(self, docs: DataFrame, paths: tuple[str, str], max_pairs: int = MAX_PAIRS):
-        seen = common.settled(linked_pairs(docs, paths), "alignment-seen")
+        self.documents = common.settled(encoded(docs, paths).withColumn("row", F.monotonically_increasing_id()), "alignment-documents")
+        seen = common.settled(linked_pairs(self.documents), "alignment-seen")
         distinct = common.settled(seen.select("pair").distinct(), "alignment-pairs")
         self.pairs = distinct.count()
         self.bits = max(1, (self.pairs // SHARD_PAIRS).bit_length())
@@ -558,54 +627,40 @@ class PairCounts:
         return rows, {s: _unpacked(c[8:], int.from_bytes(c[:8], "little")).tobytes() for s, c in counts.items()}, self.bits, self.highest
 
 
-def _looked_up(docs: DataFrame, paths: tuple[str, str], at, name: str, digests_too: bool) -> DataFrame:
-    """ALIGNED of each document, with the counts of one block of shards, and its text's digest where that is asked for."""
+def _looked_up(documents: DataFrame, at, name: str) -> DataFrame:
+    """ALIGNED of each document and its row's number, with the counts of one block of shards."""
+    schema = T.StructType([*ALIGNED.fields, T.StructField("row", T.LongType())])
+    same = [c for c in schema.names if c not in COUNTED]
 
     def run(batches):
-        units = Units.of(name, paths, lambda: Counts(*at.value))
+        Units.leave()
+        counts = Counts.of(name, lambda: at.value)
         for batch in common.slices(batches):
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            out = {n: np.zeros(len(texts), np.int64) for n in NUMBERS}
-            good = np.array([bool(t) for t in texts])
-            digests = [hashlib.sha256() for _ in texts]
-            begun = np.zeros(len(texts), bool)
-            held = [k for k, t in enumerate(texts) if t]
-            for k, own, _ in units.ids([texts[k] for k in held]):
-                k = held[k]
-                good[k] &= bool(units.good.held[own].all())
-                for n in NUMBERS:
-                    out[n][k] += units.numbers[n].held[own].sum()
-                digests[k].update((";" * int(begun[k]) + ";".join([units.names[i] for i in own.tolist()])).encode())
-                begun[k] = True
-            for n in NUMBERS:
-                out[n][~good] = 0
-            yield common.to_batch(ALIGNED, {"doc_id": ids, **out, "groups_sha256": [d.hexdigest() if g else "" for d, g in zip(digests, good.tolist(), strict=True)], "text_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() if digests_too else None for t in texts]})
+            pairs, edges = _pairs_of(batch.column("pairs"))
+            times = _times_of(batch.column("times"), edges)
+            count, best = counts.look_up(pairs.astype(np.int64))
+            yield common.to_batch(schema, {c: batch.column(c) for c in same} | {"n_best": _stretches(times * best, edges), "count_sum": _stretches(times * count, edges)})
 
-    return docs.select("doc_id", "text").mapInArrow(run, ALIGNED)
+    return documents.select(*same, "pairs", "times").mapInArrow(run, schema)
 
 
 def align(docs: DataFrame, a_path: str, b_path: str, max_pairs: int = MAX_PAIRS) -> DataFrame:
     """How the ids of two tokenizers are linked in each document, and how usual these links are in all of them.
 
-    The first pass gathers linked pairs with the documents of a task that hold them. A minimal perfect hash of the distinct
-    pairs, made by shards, gives each a place in a dense vector; the tasks' vectors are added up in a tree. The second pass aligns
-    the documents again and looks their pairs up; where the hash has more than `max_pairs` pairs it does so for a block of shards
-    at a time, and the blocks' sums are added.
+    Each text is aligned once; what it gives is kept as a table, with the document's distinct linked pairs. From these the tasks
+    gather their pairs and how many of their documents hold them. A minimal perfect hash of the distinct pairs, made by shards,
+    gives each a place in a dense vector; the tasks' vectors are added up in a tree. A pass over the table looks the documents'
+    pairs up; where the hash has more than `max_pairs` pairs there is one for each block of shards, and their sums are added.
     """
-    paths = (a_path, b_path)
-    counts = PairCounts(docs, paths, max_pairs)
+    counts = PairCounts(docs, (a_path, b_path), max_pairs)
     context = docs.sparkSession.sparkContext
-    passes = [_looked_up(docs, paths, context.broadcast(counts.block(b)), f"{counts.shards.settled_at} {k}", len(counts.blocks) > 1).withColumn("block", F.lit(k)) for k, b in enumerate(counts.blocks)]
+    passes = [_looked_up(counts.documents, context.broadcast(counts.block(b)), f"{counts.shards.settled_at} {k}") for k, b in enumerate(counts.blocks)]
     if len(passes) == 1:
-        return passes[0].drop("text_sha256", "block")
-    both = passes[0]
+        return passes[0].select(*ALIGNED.names)
+    every = passes[0]
     for p in passes[1:]:
-        both = both.unionByName(p)
-    whole = ("n_a", "n_b", "n_groups", "n_links", "groups_sha256")
-    # Rows with one id and text have one result; they are told apart again at the end.
-    one = both.groupBy("doc_id", "text_sha256", "block").agg(*(F.first(c).alias(c) for c in (*whole, "n_best", "count_sum")), F.count("*").alias("rows"))
-    summed = one.groupBy("doc_id", "text_sha256").agg(*(F.first(c).alias(c) for c in (*whole, "rows")), *(F.sum(c).alias(c) for c in ("n_best", "count_sum")))
-    return summed.withColumn("row", F.explode(F.sequence(F.lit(1), F.col("rows")))).select(*[c for c in ALIGNED.names if c != "text_sha256"])
+        every = every.unionByName(p)
+    return every.groupBy("row").agg(*((F.sum if c in COUNTED else F.first)(c).alias(c) for c in ALIGNED.names)).select(*ALIGNED.names)
 
 
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:

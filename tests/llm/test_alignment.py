@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loreforge.llm import alignment as al
 from loreforge.llm.tokens import tokenizer_path
@@ -165,3 +166,47 @@ def test_plain_texts_have_the_units_of_the_pattern(pair):
         if found is not None:
             assert [[names[i] for i in own.tolist()] for own in found] == [next(pair.units(t)) for t in texts]
     assert units._plain(["one two", "two three"]) is not None and units._plain(["one  two"]) is None and units._plain(["a\ud800"]) is None
+
+
+def test_texts_are_read_once_whatever_the_blocks(spark, monkeypatch):
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def met(text):
+        read.add(1)
+        return text
+
+    frame = spark.createDataFrame(list(enumerate(_texts(7, 40))), "doc_id long, text string").select("doc_id", met("text").alias("text"))
+    monkeypatch.setattr(al, "SHARD_PAIRS", 16)
+    for max_pairs, blocks in ((al.MAX_PAIRS, 1), (30, 2)):
+        before = read.value
+        counts = al.PairCounts(frame, PATHS, max_pairs)
+        assert len(counts.blocks) >= blocks and read.value - before == 40
+        before = read.value
+        assert len(al.align(frame, *PATHS, max_pairs=max_pairs).collect()) == 40
+        assert read.value - before == 40
+
+
+def test_texts_of_several_parts_give_what_each_part_gives(spark, pair):
+    short, times = "some words, straße\nand Bar, tokenization e.g. " + "-" * 30 + " x", 30_000
+    long = " ".join([short] * times)
+    assert len(long) > 2 * al.PART
+    rows = [(1, short), (4, "straße Bar,")]
+    got = {r[0]: tuple(r) for r in al.align(spark.createDataFrame([(1, long), (2, f"{long} ▁"), (3, f"▁ {long}"), rows[1]], "doc_id long, text string").repartition(1), *PATHS).collect()}
+    want = {r[0]: r for r in _plain(pair, rows)}
+    groups = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in _groups(pair, short))
+    assert got[4] == want[4] and got[2][1:] == got[3][1:] == (0, 0, 0, 0, 0, 0, "")
+    assert got[1] == (1, *(n * times for n in want[1][1:7]), hashlib.sha256(";".join([groups] * times).encode()).hexdigest())
+
+
+def test_numbers_keep_their_values_in_few_bytes():
+    for numbers in ([], [1, 255], [256, 3], [70_000], [1 << 40, 2]):
+        grown = al._Grown(np.int32)
+        grown.add(np.ones(3, np.int64))
+        grown.add(np.array(numbers, np.int64))
+        assert grown.held[: grown.n].tolist() == [1, 1, 1, *numbers]
+        x = np.array(numbers, np.int64)
+        column = al.pa.array([b"", al._narrow(x), al._narrow(x[:1])])
+        edges = np.cumsum([0, 0, len(x), len(x[:1])])
+        assert al._times_of(column, edges).tolist() == numbers + numbers[:1]
+    assert len(al._narrow(np.array([1, 255]))) == 2
