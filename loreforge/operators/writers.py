@@ -122,9 +122,17 @@ def published(members: DataFrame, facts: DataFrame, name: str) -> str:
 
 def export_faults(files: DataFrame, manifest: DataFrame, links: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(subject, fault) of an export: files (path, sha256) that differ from the manifest (path, sha256), links (path, target)
-    to no file, and edges (src, dst) whose ends are no nodes (node)."""
-    both = manifest.select("path", F.col("sha256").alias("_said")).join(files.select("path", F.col("sha256").alias("_is")), "path", "full_outer")
-    parts = [both.select(F.col("path").alias("subject"), F.when(F.col("_is").isNull(), "MISSING").when(F.col("_said").isNull(), "UNLISTED").when(F.col("_said") != F.col("_is"), "CHANGED").alias("fault")).where("fault is not null")]
+    to no file, and edges (src, dst) whose ends are no nodes (node).
+
+    A path may have several files and entries: equal digests cancel out, and of what is left of a path, entries and files make
+    pairs that are CHANGED, entries over are MISSING and files over UNLISTED, a row for each. These are counts, so a path with
+    many files is summed up before its shuffle.
+    """
+    said, held = F.greatest(F.col("_n"), F.lit(0)), F.greatest(-F.col("_n"), F.lit(0))
+    both = manifest.select("path", "sha256", F.lit(1).alias("_n")).union(files.select("path", "sha256", F.lit(-1).alias("_n")))
+    left = both.groupBy("path", "sha256").agg(F.sum("_n").alias("_n")).where("_n <> 0").groupBy("path").agg(F.sum(said).alias("_said"), F.sum(held).alias("_is"))
+    counts = {"CHANGED": F.least("_said", "_is"), "MISSING": F.greatest(F.col("_said") - F.col("_is"), F.lit(0)), "UNLISTED": F.greatest(F.col("_is") - F.col("_said"), F.lit(0))}
+    parts = [left.select(F.col("path").alias("subject"), F.explode(F.concat(*[F.array_repeat(F.lit(fault), n.cast("int")) for fault, n in counts.items()])).alias("fault"))]
     parts.append(links.join(files.select(F.col("path").alias("target")), "target", "left_anti").select(F.col("path").alias("subject"), F.lit("BROKEN_LINK").alias("fault")).distinct())
     ends = edges.select(F.explode(F.array("src", "dst")).alias("node")).where("node is not null").distinct()
     parts.append(ends.join(nodes.select("node"), "node", "left_anti").select(F.col("node").alias("subject"), F.lit("UNKNOWN_NODE").alias("fault")))
